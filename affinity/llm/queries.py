@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinity.llm.markup import clean_text
 from affinity.llm.set_join import folded, similar_pairs
+from affinity.llm.top_n import best_scores, top_n_without
 from affinity.sources.tables import table
 
+#: Vault settings are broadcast up to this number of rows.
+SETTINGS_LIMIT = 100_000
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """All strongly overlapping pairs of cached term lists and of cached signatures."""
@@ -20,8 +25,40 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Every note's text without markup, with the kinds of markup it held."""
+    notes = clean_text(table(spark, folder, "notes"), "note_id", "text", "basename").distinct()
+    return notes.select(F.col("id").alias("note_id"), "text", F.array_join("kinds", ",").alias("kinds"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes whose text holds markup, by family."""
+    notes = clean_text(table(spark, folder, "notes"), "note_id", "text", "basename")
+    return notes.select(F.col("id").alias("note_id"), F.explode("kinds").alias("markup")).distinct()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The best files of every query note, as many as its vault allows."""
+    settings = table(spark, folder, "vault_settings").groupBy("vault").agg(F.max("max_suggestions").alias("n"))
+    sizes = settings.agg(
+        F.count("*").alias("rows"), F.max("n").alias("most"), F.max(F.when(F.col("vault") == "*", F.col("n"))).alias("usual")
+    ).first()
+    settings = settings.where(F.col("vault").isNotNull())
+    if sizes["rows"] <= SETTINGS_LIMIT:
+        settings = F.broadcast(settings)
+    limit = F.coalesce(F.col("n"), F.lit(sizes["usual"]), F.lit(0))
+    scored = table(spark, folder, "related_notes").join(settings, "vault", "left")
+    best = best_scores(scored, "query_id", "file", "similarity", keep={"limit": limit})
+    own = table(spark, folder, "notes").select(F.col("note_id").alias("group"), F.col("path").alias("item"))
+    top = top_n_without(best, max(sizes["most"] or 0, 0), own, limit="limit")
+    return top.select(F.col("group").alias("query_id"), F.col("item").alias("file"))
+
+
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
+    "p4_found": p4_found,
 }
 
 _PAIRS_SQL = """
@@ -45,4 +82,19 @@ _P1 = (
 
 SQL = {
     "p1_found": "WITH " + ", ".join(_SIZED_SQL.format(**x) for x in _P1) + " UNION ALL ".join(_PAIRS_SQL.format(**x) for x in _P1),
+    "p4_found": """
+        WITH settings AS (SELECT vault, max(max_suggestions) AS n FROM vault_settings GROUP BY vault),
+        best AS (
+            SELECT r.query_id, r.file, max(r.similarity) AS score,
+                   max(coalesce(s.n, (SELECT n FROM settings WHERE vault = '*'), 0)) AS n
+            FROM related_notes r LEFT JOIN settings s ON s.vault = r.vault
+            WHERE r.similarity > 0 AND r.similarity <= 1 AND NOT isnan(r.similarity)
+              AND r.query_id IS NOT NULL AND r.file IS NOT NULL
+              AND NOT EXISTS (SELECT 1 FROM notes o WHERE o.note_id = r.query_id AND o.path = r.file)
+            GROUP BY r.query_id, r.file
+        )
+        SELECT query_id, file FROM (
+            SELECT query_id, file, n, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file) AS place FROM best
+        ) WHERE place <= n
+    """,
 }
