@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return it without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and return it without its lineage.
+
+    A written table is computed once, is stored by column and outlives any executor. It is
+    removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/affinity-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession, factor: int = 1) -> int:
