@@ -339,7 +339,8 @@ def set_links(sets: DataFrame, threshold: float, *, bucket_rows: int = BUCKET_RO
         .repartition(partitions(spark), "token")
         .mapInArrow(_shared_values, "key bigint, token bigint, df int")
     )
-    both = shared.withColumn("hot", F.lit(None).cast("array<int>")).unionByName(
+    # empty, not null: null lists are slow to hand to Python
+    both = shared.withColumn("hot", F.array().cast("array<int>")).unionByName(
         heads.select("key", F.col("n").cast("bigint").alias("token"), F.lit(0).alias("df"), "hot")
     )
     ordered = cut(
