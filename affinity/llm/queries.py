@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinity.llm.language import held_languages, label_code, labelled_sample, languages, train
+from affinity.llm.leakage import leaked_items
+from affinity.llm.lookalikes import consistent_text, look_alike_pairs
 from affinity.llm.markup import clean_text
+from affinity.llm.mixture import Mixture
 from affinity.llm.set_join import folded, similar_pairs
+from affinity.llm.term_counts import marked_terms, term_counts
 from affinity.llm.top_n import best_scores, top_n_without
 from affinity.sources.tables import table
 
@@ -37,6 +42,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return notes.select(F.col("id").alias("note_id"), F.explode("kinds").alias("markup")).distinct()
 
 
+def p3_consistent(spark: SparkSession, folder: str) -> DataFrame:
+    """Every note's text in the consistent form."""
+    notes = consistent_text(table(spark, folder, "notes"), "note_id", "text")
+    return notes.select(F.col("id").alias("note_id"), "text").distinct()
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of notes whose texts differ as strings and look the same."""
+    pairs = look_alike_pairs(table(spark, folder, "notes"), "note_id", "text")
+    return pairs.select(F.col("id_a").alias("note_a"), F.col("id_b").alias("note_b"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The best files of every query note, as many as its vault allows."""
     settings = table(spark, folder, "vault_settings").groupBy("vault").agg(F.max("max_suggestions").alias("n"))
@@ -54,11 +71,87 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return top.select(F.col("group").alias("query_id"), F.col("item").alias("file"))
 
 
+def p6_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term with its occurrences, records and mark."""
+    vectors = table(spark, folder, "file_vectors")
+    common = table(spark, folder, "vault_settings").where(F.col("vault") == "*").agg(F.max("common_words_threshold")).first()[0]
+    records = vectors.agg(F.countDistinct("vec_id")).first()[0]
+    return marked_terms(term_counts(vectors, "vec_id", "terms", folded), records, 1.0 if common is None else common)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms that are too rare or too common to be useful."""
+    return p6_terms(spark, folder).where(F.col("mark").isNotNull()).select("term", "mark")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that repeat passages of test items, with the place and extent of the match."""
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that repeat passages of test items."""
+    return p7_report(spark, folder).select("doc_id", "item_id")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The uses of documents that make up the mixture, with their order."""
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).rows()
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source reached."""
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).shares()
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, segments, label) of all documents."""
+    documents = table(spark, folder, "documents")
+    judge = train(labelled_sample(documents, "text", "lang"))
+    return languages(documents, "doc_id", "text", judge, keep=["lang"])
+
+
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    rows = _judged(spark, folder).select("id", F.posexplode("segments").alias("segment", "s"))
+    return rows.select(F.col("id").alias("doc_id"), "segment", "s.start", "s.end", "s.lang", "s.confidence").distinct()
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the languages it holds, the main one first, and the confidence in each."""
+    held = held_languages(_judged(spark, folder))
+    return held.select(F.col("id").alias("doc_id"), F.posexplode_outer("held").alias("place", "h")).select(
+        "doc_id", "place", "h.lang", "h.confidence"
+    ).distinct()
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of the documents whose label is missing or wrong, and of those in several languages."""
+    held = held_languages(_judged(spark, folder))
+    single = F.size("held") == 1
+    right = F.col("held")[0]["lang"].eqNullSafe(label_code(F.col("lang")))
+    return (
+        held.where((F.size("held") > 0) & ~(single & right))
+        .select(F.col("id").alias("doc_id"), F.explode("held.lang").alias("lang")).distinct()
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_consistent": p3_consistent,
     "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_terms": p6_terms,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_documents": p9_documents,
+    "p9_segments": p9_segments,
 }
 
 _PAIRS_SQL = """
@@ -80,6 +173,21 @@ _P1 = (
     {"field": "signatures", "fold": "x", "key": "sig_id", "list": "signature", "table": "signatures", "p": 1, "q": 2},
 )
 
+_P6 = r"""
+    WITH terms AS (
+        SELECT id, trim(lower(x), E' \t\n\r\x0b\x0c' || chr(160) || chr(12288)) AS term
+        FROM (SELECT id, unnest(terms) AS x FROM (SELECT DISTINCT vec_id AS id, terms FROM file_vectors WHERE vec_id IS NOT NULL))
+        WHERE x IS NOT NULL
+    ),
+    counted AS (
+        SELECT term, count(*) AS occurrences, count(DISTINCT id) AS records FROM terms GROUP BY term
+    ),
+    sizes AS (
+        SELECT (SELECT count(DISTINCT vec_id) FROM file_vectors) AS n,
+               (SELECT max(common_words_threshold) FROM vault_settings WHERE vault = '*') AS common
+    )
+"""
+
 SQL = {
     "p1_found": "WITH " + ", ".join(_SIZED_SQL.format(**x) for x in _P1) + " UNION ALL ".join(_PAIRS_SQL.format(**x) for x in _P1),
     "p4_found": """
@@ -97,4 +205,14 @@ SQL = {
             SELECT query_id, file, n, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file) AS place FROM best
         ) WHERE place <= n
     """,
+    "p6_terms": _P6 + """
+        SELECT term, occurrences, records, CASE
+            WHEN records / n >= common THEN 'common'
+            WHEN records < 3 AND NOT regexp_matches(term, '\\s') THEN 'rare' END AS mark
+        FROM counted, sizes
+    """,
+    "p6_found": _P6 + """
+        SELECT term, CASE WHEN records / n >= common THEN 'common' ELSE 'rare' END AS mark
+        FROM counted, sizes WHERE records / n >= common OR records < 3 AND NOT regexp_matches(term, '\\s')
+    """,
 }
