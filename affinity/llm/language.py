@@ -12,6 +12,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from math import log
 
 import pandas as pd
 import zstandard
@@ -38,10 +39,10 @@ DICTIONARY_BYTES = 1 << 16
 #: Words (characters in Japanese) from which a further language is held.
 LEAST_WORDS, LEAST_CHARACTERS = 20, 40
 #: Shares of the next best size by which the best must be smaller, and of the plain size that it may have.
-MARGIN, RATIO = 0.08, 0.6
+MARGIN, RATIO = 0.08, 0.75
 
 FRONT = re.compile(r"\A\s*---[ \t]*\n.*?\n---[ \t]*(?=\n|\Z)", re.S)
-FENCED = re.compile(r"^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[ \t]*$|\Z)|```.*?```|`[^`\n]+`", re.M | re.S)
+FENCED = re.compile(r"(`{3,}|~{3,}).*?\1|`[^`\n]+`", re.S)
 OTHER = re.compile(r"https?://\S+|\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)|</?[a-zA-Z][^<>\n]*>|[#@]\w[\w/-]*|\b\w*\d\w*\b|^\s*\{.*\}\s*$", re.M)
 SENTENCE = re.compile(r"(?:(?! / )[^.!?。！？\n])+[.!?。！？]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -153,38 +154,46 @@ class Classifier:
         return self.judge(self.sizes(line), len(line.encode()))
 
 
-def train(labelled: list[tuple[str, str]], *, most: int = DICTIONARY_BYTES, rounds: int = 2) -> Classifier:
-    """A classifier from (language, text) pairs, some of which are wrong.
+def _marks(line: str) -> set[str]:
+    """The words of a sentence, of Japanese its characters."""
+    return set(JAPANESE.findall(line)) if script(line) == "ja" else set(WORD.findall(line))
 
-    The documents are split into two halves. Those of each half that the other half's
-    dictionaries give another language are left out, and in the end single sentences too.
+
+def sifted(docs: list[tuple[str, list[str]]], rounds: int = 3) -> list[tuple[str, list[str]]]:
+    """The sentences whose words speak for their label.
+
+    A wrong label puts a language's words at another's name, but far more seldom than at
+    its own: a word counts for a language by the share of that label's documents with it.
+    Sentences for which another label is likelier are left out, and counting starts again.
     """
-    halves: list[list[tuple[str, list[str]]]] = [[], []]
-    for i, (lang, text) in enumerate(labelled):
-        halves[i % 2].append((lang, [s[2] for s in sentences(text)]))
-
-    def build(docs: list[tuple[str, list[str]]], judge: Classifier | None = None) -> Classifier:
-        lines = defaultdict(list)
-        for lang, own in docs:
-            lines[lang] += own
-        return Classifier({
-            lang: dictionary_text([x for x in own if judge is None or judge.line(x)[0] == lang], most) for lang, own in lines.items()
-        })
-
-    def agrees(judge: Classifier, lang: str, lines: list[str]) -> bool:
-        total: dict[str, int] = defaultdict(int)
-        for line in lines[:40]:
-            found = judge.line(line)[0]
-            if found:
-                total[found] += len(line)
-        return bool(total) and max(total, key=total.__getitem__) == lang
-
-    kept = halves
     for _ in range(rounds):
-        judges = [build(kept[1]), build(kept[0])]
-        kept = [[d for d in half if agrees(judge, *d)] for half, judge in zip(halves, judges)]
-    docs = [d for pair in zip(*kept) for d in pair] + kept[0][len(kept[1]) :] + kept[1][len(kept[0]) :]
-    return build(docs, build(docs))
+        held: dict[str, int] = defaultdict(int)
+        seen: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for lang, lines in docs:
+            held[lang] += bool(lines)
+            for w in set().union(*map(_marks, lines)):
+                seen[w][lang] += 1
+        share = {w: {lang: n / held[lang] for lang, n in by.items()} for w, by in seen.items()}
+
+        def likeliest(line: str) -> str:
+            score: dict[str, float] = defaultdict(float)
+            for w in _marks(line):
+                by = share[w]
+                whole = sum(by.values()) + 1e-2
+                for lang in held:
+                    score[lang] += log((by.get(lang, 0.0) + 1e-3) / whole)
+            return max(sorted(score), key=score.__getitem__) if score else ""
+
+        docs = [(lang, [x for x in lines if likeliest(x) == lang]) for lang, lines in docs]
+    return docs
+
+
+def train(labelled: list[tuple[str, str]], *, most: int = DICTIONARY_BYTES) -> Classifier:
+    """A classifier from (language, text) pairs, some of which are wrong."""
+    lines = defaultdict(list)
+    for lang, own in sifted([(lang, [s[2] for s in sentences(text)]) for lang, text in labelled]):
+        lines[lang] += own
+    return Classifier({lang: dictionary_text(own, most) for lang, own in lines.items()})
 
 
 def labelled_sample(df: DataFrame, text: str, label: str, docs: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
