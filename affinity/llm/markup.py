@@ -258,7 +258,7 @@ def _tags(s: _Scan) -> None:
         def character(m: re.Match) -> str | None:
             if m[1] and m[1] + ";" not in html5:
                 return None
-            return html.unescape(m[0])
+            return html.unescape(m[0]).replace("\xa0", " ")
 
         for _ in range(2):  # characters that were escaped twice
             s.sub("html", ENTITY, character)
