@@ -1 +1 @@
-"""Affinity functions."""
+"""Column functions."""
