@@ -65,7 +65,7 @@ def false_positive_rate(items: Column, m: Column, k: Column) -> Column:
 
 def contains(words: Column, bits: Column) -> Column:
     """All ``bits`` are set in the filter."""
-    return F.forall(bits, lambda b: F.get(words, F.floor(b / 64).cast("int")).bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), (b % 64).cast("int"))) != 0)
+    return F.forall(bits, lambda b: F.get(words, F.floor(b / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int"))) != 0)
 
 
 def memory_bytes(m: Column) -> Column:

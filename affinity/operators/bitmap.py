@@ -74,5 +74,5 @@ def term_bits(terms: DataFrame, m: int, k: int) -> DataFrame:
 
 def bit_words(bits: DataFrame) -> DataFrame:
     """(doc_id, word_idx, word): the words of 64 bits that are not zero, combined before the shuffle."""
-    value = F.shiftleft(F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
+    value = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
     return bits.groupBy("doc_id", F.floor(F.col("bit") / 64).alias("word_idx")).agg(F.bit_or(value).alias("word"))

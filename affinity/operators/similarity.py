@@ -130,15 +130,14 @@ def _block(ids: list[int], words: list[list[int]], m: int, k: int, most: int) ->
     return run
 
 
-def similar_to_many(filters: DataFrame, queries: DataFrame, most: int = 10, *, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, doc_id, similarity, rank): the best ``most`` documents for each of ``queries`` (doc_id).
+def similar_to_many(filters: DataFrame, asked: DataFrame, most: int = 10, *, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id, similarity, rank): the best ``most`` of ``filters`` for each of the filters ``asked``.
 
     The queries go to all tasks in blocks of ``block`` filters. A task keeps the best of each batch, so
     what is shuffled grows with queries and batches and not with their product with the documents.
     """
     spark = filters.sparkSession
     schema = "query_id bigint, doc_id bigint, similarity double"
-    asked = filters.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
     count = asked.count()
     blocks = max(1, -(-count // block))
     found = spark.createDataFrame([], schema)

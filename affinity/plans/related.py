@@ -115,7 +115,8 @@ class RelatedEngine:
 
     def related_to_all(self, queries: DataFrame, most: int | None = None) -> DataFrame:
         """(query_id, doc_id, similarity, rank) for many documents at once, each held against all."""
-        return similar_to_many(self.filters, queries, most or self.config.max_suggestions)
+        asked = self.filters.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+        return similar_to_many(self.filters, asked, most or self.config.max_suggestions)
 
     def stats(self) -> DataFrame:
         return provider_stats(self.filters, len(self.common[0]), self.config)

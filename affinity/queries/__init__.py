@@ -1,6 +1,6 @@
 """The queries over the table folders, by name, and the SQL that must give the same rows."""
 
-from affinity.queries import changes, terms
+from affinity.queries import changes, lifecycle, search, terms
 
 #: The modules of queries outside the optional subpackage.
-CORE = (terms, changes)
+CORE = (search, terms, lifecycle, changes)

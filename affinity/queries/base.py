@@ -13,7 +13,7 @@ from affinity.plans.related import RelatedEngine
 from affinity.sources.corpus import document_corpus
 
 #: The document that one-vs-all queries ask about, and the time that recency counts from.
-QUERY = 1
+QUERY = 51
 NOW = datetime(2024, 11, 1)
 
 
@@ -105,11 +105,12 @@ def token_parts(name: str, source: str, key: str, text: str) -> dict[str, str]:
             lambda r, i: CASE WHEN {url} THEN '__url_' || (i - 1) || '__' ELSE r END), ' ') AS p FROM {name}_b""",
         f"{name}_d": f"""SELECT {key}, codes, runs, regexp_matches(p, '{CJK}') AS cjk,
             lower(CASE WHEN regexp_matches(p, '{CJK}') THEN nfc_normalize(p) ELSE p END) AS l FROM {name}_c""",
+        f"{name}_s": f"SELECT *, regexp_extract_all(l, '{CJK}') AS signs FROM {name}_d",
         f"{name}_e": f"""SELECT {key}, codes, runs, CASE WHEN cjk THEN list_concat(
                 list_filter(regexp_extract_all(l, '{CJK}|[a-z0-9_\\-]+'), lambda w: regexp_matches(w, '{CJK}') OR length(w) > 2 AND NOT list_contains({STOPS}, w)),
-                list_transform(range(1, greatest(len(regexp_extract_all(l, '{CJK}')), 1)), lambda i: regexp_extract_all(l, '{CJK}')[i] || regexp_extract_all(l, '{CJK}')[i + 1]))
+                list_transform(range(1, greatest(len(signs), 1)), lambda i: signs[i] || signs[i + 1]))
             ELSE list_transform(list_filter(string_split_regex(regexp_replace(l, '[^\\w\\s\\-_]', ' ', 'g'), '\\s+'),
-                lambda w: length(w) > 2 AND NOT list_contains({STOPS}, w)), lambda w: {stem_sql('w')}) END AS toks FROM {name}_d""",
+                lambda w: length(w) > 2 AND NOT list_contains({STOPS}, w)), lambda w: {stem_sql('w')}) END AS toks FROM {name}_s""",
         name: f"""SELECT {key}, string_split_regex(array_to_string(list_transform(toks, lambda w: CASE
                 WHEN starts_with(w, '__code_block_') THEN coalesce(trim(replace(codes[try_cast(regexp_extract(w, '^__code_block_(\\d+)', 1) AS INT) + 1], '`', '')), w)
                 WHEN starts_with(w, '__url_') THEN coalesce(runs[try_cast(regexp_extract(w, '^__url_(\\d+)', 1) AS INT) + 1], w)
@@ -192,7 +193,7 @@ def sql(select: str, **more: str) -> str:
     needed: set[str] = set()
     def need(text: str, before: int) -> None:
         for i, name in enumerate(names[:before]):
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", text):
+            if name not in needed and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", text):
                 needed.add(name)
                 need(parts[name], i)
 
