@@ -31,6 +31,7 @@ EXTENSIONS = "md txt js ts html css json py java rb c cpp h go rs php".split()
 #: Characters that count as white space, and those of the Han and kana scripts.
 SPACE = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}]"
+BLANKS = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 CODE = r"`[^`]+`|```[\s\S]+?```"
 MARKS = r"[\x{0300}-\x{036F}\x{3099}\x{309A}]"
 _SUFFIX = rf"(?i)\.(?:{'|'.join(EXTENSIONS)})$"
@@ -82,13 +83,15 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_tokens(df: DataFrame, text: str, out: str, *, compose: bool = True) -> DataFrame:
     """``df`` with ``out``, the tokens of ``text`` in order, repeats kept.
 
     Code spans, addresses and file names stay whole but for white space inside; texts with Han
     or kana characters give these one by one, then in adjacent pairs; other texts give stemmed
     words of more than two letters, digits, hyphens or underscores. A null or empty text, and one
-    without tokens, gives one empty token.
+    without tokens, gives one empty token. ``compose`` brings texts with Han or kana characters to
+    composed form, for which Spark has no function of its own; tokens of such texts are in it already,
+    so a second pass over them goes without and stays one plan of built-in functions.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_t", t).withColumn(
@@ -102,8 +105,9 @@ def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
     marked = F.transform("_runs", lambda r, i: F.when(kept_whole(r), F.concat(F.lit("__url_"), i, F.lit("__"))).otherwise(r))
     df = df.withColumn("_p", F.when(F.col("_runs").isNull(), F.col("_s")).otherwise(F.array_join(marked, " ")))
     df = df.withColumn("_cjk", F.col("_p").rlike(CJK))
-    loose = F.col("_cjk") & F.col("_p").rlike(MARKS)
-    df = df.withColumn("_p", F.when(loose, _nfc(F.when(loose, F.col("_p")))).otherwise(F.col("_p")))
+    if compose:
+        loose = F.col("_cjk") & F.col("_p").rlike(MARKS)
+        df = df.withColumn("_p", F.when(loose, _nfc(F.when(loose, F.col("_p")))).otherwise(F.col("_p")))
     df = df.withColumn("_l", F.lower("_p"))
 
     words = F.filter(
@@ -121,7 +125,8 @@ def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_tokens", F.when(F.col("_cjk"), F.concat(runs, pairs)).otherwise(F.transform(words, stem)))
 
     def restored(w: Column) -> Column:
-        code = F.trim(F.replace(F.get("_codes", F.regexp_extract(w, r"^__code_block_(\d+)", 1).try_cast("int")), F.lit("`"), F.lit("")))
+        code = F.get("_codes", F.regexp_extract(w, r"^__code_block_(\d+)", 1).try_cast("int"))
+        code = F.btrim(F.replace(code, F.lit("`"), F.lit("")), F.lit(BLANKS))
         address = F.get("_runs", F.regexp_extract(w, r"^__url_(\d+)", 1).try_cast("int"))
         return (
             F.when(F.startswith(w, F.lit("__code_block_")), F.coalesce(code, w))

@@ -10,8 +10,8 @@ from affinity.functions.text import CJK, meaningful, term_array, truncated, with
 
 
 def bounded(corpus: DataFrame, config: EngineConfig, limit: int) -> DataFrame:
-    """The corpus without texts that are too large, the rest cut to ``limit`` characters."""
-    rows = corpus.where(F.length("text") <= config.max_text)
+    """The corpus without texts that are too large, the rest cut to ``limit`` characters; a null text is empty."""
+    rows = corpus.withColumn("text", F.coalesce("text", F.lit(""))).where(F.length("text") <= config.max_text)
     return rows.withColumn("text", truncated(F.col("text"), limit))
 
 
@@ -35,7 +35,7 @@ def preprocessed(tokens: DataFrame, config: EngineConfig, common: list[str] | No
 
 def document_terms(texts: DataFrame) -> DataFrame:
     """(doc_id, terms) of preprocessed ``texts``, which are tokenized once more."""
-    words = with_tokens(texts, "text", "words")
+    words = with_tokens(texts, "text", "words", compose=False)
     return words.select("doc_id", term_array(F.col("words"), F.col("text").rlike(CJK)).alias("terms"))
 
 

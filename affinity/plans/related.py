@@ -55,7 +55,8 @@ class RelatedEngine:
     @cached_property
     def texts(self) -> DataFrame:
         if self.legacy:
-            return self.corpus.where(F.length("text") <= self.config.max_text)
+            rows = self.corpus.withColumn("text", F.coalesce("text", F.lit("")))
+            return rows.where(F.length("text") <= self.config.max_text)
         return bounded(self.corpus, self.config, self.config.text_limit(self.documents))
 
     @cached_property

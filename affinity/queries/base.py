@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 
 from affinity.config import DEFAULT, LEGACY, EngineConfig
-from affinity.functions.text import EXTENSIONS, STOPWORDS
+from affinity.functions.text import BLANKS, EXTENSIONS, STOPWORDS
 from affinity.plans.related import RelatedEngine
 from affinity.sources.corpus import document_corpus
 
@@ -112,7 +112,7 @@ def token_parts(name: str, source: str, key: str, text: str) -> dict[str, str]:
             ELSE list_transform(list_filter(string_split_regex(regexp_replace(l, '[^\\w\\s\\-_]', ' ', 'g'), '\\s+'),
                 lambda w: length(w) > 2 AND NOT list_contains({STOPS}, w)), lambda w: {stem_sql('w')}) END AS toks FROM {name}_s""",
         name: f"""SELECT {key}, string_split_regex(array_to_string(list_transform(toks, lambda w: CASE
-                WHEN starts_with(w, '__code_block_') THEN coalesce(trim(replace(codes[try_cast(regexp_extract(w, '^__code_block_(\\d+)', 1) AS INT) + 1], '`', '')), w)
+                WHEN starts_with(w, '__code_block_') THEN coalesce(trim(replace(codes[try_cast(regexp_extract(w, '^__code_block_(\\d+)', 1) AS INT) + 1], '`', ''), '{BLANKS}'), w)
                 WHEN starts_with(w, '__url_') THEN coalesce(runs[try_cast(regexp_extract(w, '^__url_(\\d+)', 1) AS INT) + 1], w)
                 ELSE w END), ' '), '{SPACE}+') AS tokens FROM {name}_e""",
     }

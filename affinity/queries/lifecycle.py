@@ -68,7 +68,7 @@ def index_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 def filter_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     own = engine(spark, folder)
     again = store.from_json(store.to_json(own.filters), own.bits, 3)
-    return again.select("doc_id", F.posexplode("words").alias("word_idx", "word")).where("word <> 0")
+    return again.select("doc_id", F.posexplode_outer("words").alias("word_idx", "word")).where("word <> 0")
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:

@@ -111,7 +111,7 @@ def exact_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def estimate_error(spark: SparkSession, folder: str) -> DataFrame:
     own = engine(spark, folder)
     both = similarity.scores_to_one(own.filters, QUERY).join(similarity.exact_jaccard(own.terms, QUERY), "doc_id")
-    return both.select("doc_id", F.round(F.abs(F.col("similarity") - F.col("jaccard")), 5).alias("error"))
+    return both.select("doc_id", F.round(F.abs(F.col("similarity") - F.col("jaccard")), 6).alias("error"))
 
 
 def common_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -261,7 +261,7 @@ SQL = {
     "pair_similarity": sql(_NEXT),
     "intersection_count": sql(f"SELECT p.doc_id, coalesce(o.c, 0) AS common_bits FROM pops p LEFT JOIN overlap o ON o.doc_id = p.doc_id WHERE p.doc_id <> {QUERY}"),
     "exact_jaccard": sql(_JACCARD),
-    "estimate_error": sql(f"SELECT doc_id, round(abs(similarity - jaccard), 5) AS error FROM scores JOIN ({_JACCARD}) USING (doc_id)"),
+    "estimate_error": sql(f"SELECT doc_id, round(abs(similarity - jaccard), 6) AS error FROM scores JOIN ({_JACCARD}) USING (doc_id)"),
     "common_terms": sql("""SELECT id_a, id_b, array_to_string(list_sort_terms[1:10], '|') AS terms FROM (
         SELECT a.doc_id AS id_a, b.doc_id AS id_b, coalesce(list(a.term ORDER BY a.place) FILTER (WHERE t.term IS NOT NULL), []) AS list_sort_terms
         FROM placed a JOIN (SELECT doc_id FROM docs) b ON b.doc_id = a.doc_id + 1 LEFT JOIN term_rows t ON t.doc_id = b.doc_id AND t.term = a.term

@@ -64,7 +64,7 @@ def truncate_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def double_tokenize(spark: SparkSession, folder: str) -> DataFrame:
-    return _rows(fn.with_tokens(engine(spark, folder).filtered, "text", "words"), "words", "word")
+    return _rows(fn.with_tokens(engine(spark, folder).filtered, "text", "words", compose=False), "words", "word")
 
 
 def bigrams_capped(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,3 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession, factor: int = 1) -> int:
     """Number of partitions for an explicit shuffle ahead of a Python stage."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer parts than there are cores, as a single small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.functions.text import base_name, titled
+from affinity.session import spread
 from affinity.sources.tables import table
 
 #: doc_id orders the corpus: it breaks ties and says which documents come first.
@@ -14,7 +15,7 @@ COLUMNS = ["doc_id", "path", "title", "text", "mtime"]
 
 def document_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, path, title, text, mtime) of the documents table, each text behind its title."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "path", "text", "mtime"))
     title = base_name(F.col("path"))
     return docs.select("doc_id", "path", title.alias("title"), titled(title, F.col("text")).alias("text"), "mtime")
 

@@ -120,9 +120,9 @@ def words32(words: Column) -> Column:
 
 def words64(words: Column) -> Column:
     """The 64-bit words of a filter's unsigned 32-bit words; an odd last one is filled with zeros."""
-    places = F.filter(F.transform(words, lambda w, i: i), lambda i: i % 2 == 0)
-    high = lambda i: F.shiftleft(F.coalesce(F.get(words, i + 1), F.lit(0).cast("bigint")), 32)
-    return F.transform(places, lambda i: F.get(words, i).bitwiseOR(high(i)))
+    low = F.filter(words, lambda w, i: i % 2 == 0)
+    high = F.filter(words, lambda w, i: i % 2 == 1)
+    return F.zip_with(low, high, lambda a, b: a.bitwiseOR(F.shiftleft(F.coalesce(b, F.lit(0).cast("bigint")), 32)))
 
 
 def to_json(filters: DataFrame) -> DataFrame:
