@@ -12,8 +12,8 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from math import log
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -166,26 +166,26 @@ def sifted(docs: list[tuple[str, list[str]]], rounds: int = 3) -> list[tuple[str
     its own: a word counts for a language by the share of that label's documents with it.
     Sentences for which another label is likelier are left out, and counting starts again.
     """
+    names = sorted({lang for lang, _ in docs})
+    marked = [(names.index(lang), [(x, _marks(x)) for x in lines]) for lang, lines in docs]
     for _ in range(rounds):
-        held: dict[str, int] = defaultdict(int)
-        seen: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for lang, lines in docs:
+        held = np.zeros(len(names))
+        seen: dict[str, np.ndarray] = {}
+        for lang, lines in marked:
             held[lang] += bool(lines)
-            for w in set().union(*map(_marks, lines)):
+            for w in set().union(*(m for _, m in lines)):
+                if w not in seen:
+                    seen[w] = np.zeros(len(names))
                 seen[w][lang] += 1
-        share = {w: {lang: n / held[lang] for lang, n in by.items()} for w, by in seen.items()}
-
-        def likeliest(line: str) -> str:
-            score: dict[str, float] = defaultdict(float)
-            for w in _marks(line):
-                by = share[w]
-                whole = sum(by.values()) + 1e-2
-                for lang in held:
-                    score[lang] += log((by.get(lang, 0.0) + 1e-3) / whole)
-            return max(sorted(score), key=score.__getitem__) if score else ""
-
-        docs = [(lang, [x for x in lines if likeliest(x) == lang]) for lang, lines in docs]
-    return docs
+        words = list(seen)
+        share = np.array([seen[w] for w in words]).reshape(-1, len(names)) / np.maximum(held, 1)
+        weight = dict(zip(words, np.log((share + 1e-3) / (share.sum(axis=1, keepdims=True) + 1e-2))))
+
+        def likeliest(marks: set[str]) -> int:
+            return int(sum(weight[w] for w in marks).argmax()) if marks else -1
+
+        marked = [(lang, [(x, m) for x, m in lines if likeliest(m) == lang]) for lang, lines in marked]
+    return [(names[lang], [x for x, _ in lines]) for lang, lines in marked]
 
 
 def train(labelled: list[tuple[str, str]], *, most: int = DICTIONARY_BYTES) -> Classifier:

@@ -13,12 +13,21 @@ from affinity.llm.mixture import Mixture
 from affinity.llm.set_join import folded, similar_pairs
 from affinity.llm.term_counts import marked_terms, term_counts
 from affinity.llm.top_n import best_scores, top_n_without
+from affinity.session import spread
 from affinity.sources.tables import table
 
 #: Vault settings are broadcast up to this number of rows.
 SETTINGS_LIMIT = 100_000
 
 
+def _notes(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "notes").select("note_id", "basename", "text"))
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "source", "lang", "text"))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """All strongly overlapping pairs of cached term lists and of cached signatures."""
     vectors = similar_pairs(
@@ -32,25 +41,25 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Every note's text without markup, with the kinds of markup it held."""
-    notes = clean_text(table(spark, folder, "notes"), "note_id", "text", "basename").distinct()
+    notes = clean_text(_notes(spark, folder), "note_id", "text", "basename").distinct()
     return notes.select(F.col("id").alias("note_id"), "text", F.array_join("kinds", ",").alias("kinds"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The notes whose text holds markup, by family."""
-    notes = clean_text(table(spark, folder, "notes"), "note_id", "text", "basename")
+    notes = clean_text(_notes(spark, folder), "note_id", "text", "basename")
     return notes.select(F.col("id").alias("note_id"), F.explode("kinds").alias("markup")).distinct()
 
 
 def p3_consistent(spark: SparkSession, folder: str) -> DataFrame:
     """Every note's text in the consistent form."""
-    notes = consistent_text(table(spark, folder, "notes"), "note_id", "text")
+    notes = consistent_text(_notes(spark, folder), "note_id", "text")
     return notes.select(F.col("id").alias("note_id"), "text").distinct()
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of notes whose texts differ as strings and look the same."""
-    pairs = look_alike_pairs(table(spark, folder, "notes"), "note_id", "text")
+    pairs = look_alike_pairs(_notes(spark, folder), "note_id", "text")
     return pairs.select(F.col("id_a").alias("note_a"), F.col("id_b").alias("note_b"))
 
 
@@ -86,7 +95,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that repeat passages of test items, with the place and extent of the match."""
-    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaked_items(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,17 +105,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The uses of documents that make up the mixture, with their order."""
-    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).rows()
+    return Mixture(_documents(spark, folder), table(spark, folder, "mix_targets")).rows()
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The share of all tokens that each source reached."""
-    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).shares()
+    return Mixture(_documents(spark, folder), table(spark, folder, "mix_targets")).shares()
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     """(id, segments, label) of all documents."""
-    documents = table(spark, folder, "documents")
+    documents = _documents(spark, folder)
     judge = train(labelled_sample(documents, "text", "lang"))
     return languages(documents, "doc_id", "text", judge, keep=["lang"])
 
