@@ -35,7 +35,7 @@ def test_code_and_addresses_stay(spark):
     assert got[2] == ["foo__code_block_0__baz", "qux"]
     assert got[3] == ["bar", "qux"]
     assert got[4] == ["let", "x", "=", "1", "end", "behind"]
-    assert got[5] == ["note", "other"] and got[6] == ["see", "http"]  # a comma or bracket undoes them; https is stemmed
+    assert got[5] == ["note", "other"] and got[6] == ["see", "https://a.b/c)."]  # a comma undoes a file name
     assert got[7] == ["x" * 501] and got[8] == [""]  # too long a run, too many plus signs
 
 
