@@ -166,6 +166,8 @@ def sifted(docs: list[tuple[str, list[str]]], rounds: int = 3) -> list[tuple[str
     its own: a word counts for a language by the share of that label's documents with it.
     Sentences for which another label is likelier are left out, and counting starts again.
     """
+    if not docs:
+        return []
     names = sorted({lang for lang, _ in docs})
     marked = [(names.index(lang), [(x, _marks(x)) for x in lines]) for lang, lines in docs]
     for _ in range(rounds):
