@@ -111,7 +111,7 @@ def with_tokens(df: DataFrame, text: str, out: str, *, compose: bool = True) ->
     df = df.withColumn("_l", F.lower("_p"))
 
     words = F.filter(
-        F.split(F.regexp_replace("_l", r"[^\w\s\-_]", " "), r"\s+", -1), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)
+        F.split("_l", r"[^\w\-]+", -1), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)
     )
     runs = F.filter(
         F.regexp_extract_all("_l", F.lit(f"{CJK}|[a-z0-9_\\-]+"), F.lit(0)),

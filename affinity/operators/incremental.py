@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from affinity.sources.files import Files
+
 #: Runs are held by the driver when they are replayed together.
 MOST_RUNS = 10_000
 
@@ -82,27 +84,20 @@ class ChangeLedger:
     """
 
     def __init__(self, spark: SparkSession, folder: str, *, key: str, version: list[str], seen: str, tie: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.files = spark, Files(spark, folder)
         self.key, self.version, self.seen, self.tie = key, version, seen, tie
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def committed(self) -> list[dict[str, Any]]:
         """The markers of the runs that succeeded, oldest first."""
-        place = self._path(f"{self.folder}/committed")
-        if not self._fs.exists(place):
-            return []
-        files = [str(f.getPath()) for f in self._fs.listStatus(place) if f.getPath().getName().endswith(".json")]
-        lines = [r.value for r in self.spark.read.text(files, wholetext=True).collect()] if files else []
-        return sorted((json.loads(x) for x in lines), key=lambda m: m["upto"])
+        names = [n for n in self.files.names("committed") if n.endswith(".json")]
+        return sorted((json.loads(self.files.read(f"committed/{n}")) for n in names), key=lambda m: m["upto"])
 
     def processed(self) -> DataFrame | None:
         """The last processed version of each key."""
         done = self.committed()
         if not done:
             return None
-        rows = self.spark.read.parquet(*[f"{self.folder}/runs/{m['run']}" for m in done])
+        rows = self.spark.read.parquet(*[self.files.at(f"runs/{m['run']}") for m in done])
         return _latest(rows, [self.key], self.version, [self.seen, self.tie])
 
     def pending(self, source: DataFrame, upto: datetime) -> DataFrame:
@@ -127,10 +122,6 @@ class ChangeLedger:
         ``open_since`` is the start of the oldest transaction that was open at ``upto``; without
         it none was open. The same run can be committed again with the same result.
         """
-        changes.write.mode("overwrite").parquet(f"{self.folder}/runs/{run}")
+        changes.write.mode("overwrite").parquet(self.files.at(f"runs/{run}"))
         marker = {"run": run, "upto": upto.isoformat(), "open_since": (open_since or upto).isoformat()}
-        out = self._fs.create(self._path(f"{self.folder}/committed/{run}.json"), True)
-        try:
-            out.write(bytearray(json.dumps(marker).encode()))
-        finally:
-            out.close()
+        self.files.write(f"committed/{run}.json", json.dumps(marker))
