@@ -212,33 +212,42 @@ def _route(buckets: Buckets) -> Callable:
 def _merge_bucket(
     bucket: int, keys: list[int], sizes: list[int], sets: list[list[int]], ratio: Fraction, buckets: Buckets
 ) -> Iterator[tuple[int, int]]:
-    """The pairs of one bucket. Sets are probed and then indexed, smallest first."""
+    """The pairs of one bucket. Sets are probed and then indexed, smallest first.
+
+    ``sets`` has only the values that several sets of the bucket hold. Sets that agree in these and
+    in size are probed once, however many there are.
+    """
     p, q = ratio.numerator, ratio.denominator
-    order = sorted(range(len(keys)), key=lambda i: (sizes[i], keys[i]))
-    ordered_sizes: list[int] = []
+    alike: dict[tuple[int, tuple[int, ...]], list[int]] = {}
+    for i, key in enumerate(keys):
+        alike.setdefault((sizes[i], tuple(sets[i])), []).append(key)
+    groups = sorted(alike)
+    ordered_sizes = [n for n, _ in groups]
     lists: dict[int, list[int]] = {}
-    for place, i in enumerate(order):
-        n = sizes[i]
+    for place, (n, own) in enumerate(groups):
+        mine = alike[n, own]
+        if len(mine) > 1 and len(own) * (p + q) >= 2 * p * n:
+            for i, key in enumerate(mine):
+                yield from ((key, other) for other in mine[:i] if buckets.of_pair(own[0], key, other) == bucket)
         least = -(-n * p // q)
         first = bisect_left(ordered_sizes, least)  # smaller sets can't reach it
         probed, starts = [], []
         if first < place:
-            for t in sets[i]:
+            for t in own:
                 found = lists.get(t)
                 if found and found[-1] >= first:
                     probed.append(found)
                     starts.append(bisect_left(found, first))
             if len(probed) >= least:
                 for j, overlap in divide_skip(probed, starts, least):
-                    other = order[j]
-                    if overlap * (p + q) >= p * (n + sizes[other]):
-                        theirs = set(sets[other])
-                        token = next(t for t in sets[i] if t in theirs)
-                        if buckets.of_pair(token, keys[i], keys[other]) == bucket:
-                            yield keys[i], keys[other]
-        for t in sets[i]:
+                    m, theirs = groups[j]
+                    if overlap * (p + q) >= p * (n + m):
+                        held = set(theirs)
+                        token = next(t for t in own if t in held)
+                        others = alike[m, theirs]
+                        yield from ((key, other) for key in mine for other in others if buckets.of_pair(token, key, other) == bucket)
+        for t in own:
             lists.setdefault(t, []).append(place)
-        ordered_sizes.append(n)
 
 
 def _merge(ratio: Fraction, buckets: Buckets) -> Callable:
