@@ -68,6 +68,13 @@ def test_frequent_values_are_split_into_blocks(spark):
     assert run(spark, rows, 0.5, bucket_rows=7, frequent_least=20) == brute(rows, 0.5)
 
 
+def test_sets_of_frequent_values_alone(spark):
+    rng = random.Random(6)
+    words = [f"c{i}" for i in range(12)]
+    rows = [(i, rng.sample(words, 6) + [f"u{i}", f"z{i}"][: i % 3]) for i in range(1, 400)]
+    assert run(spark, rows, 0.6, bucket_rows=30, frequent_least=40) == brute(rows, 0.6)
+
+
 def test_odd_records(spark):
     rows = [
         (1, None), (2, []), (3, [None]), (4, ["a"]), (5, ["a", "a", None]), (6, ["A "]), (6, ["A "]),
