@@ -96,7 +96,10 @@ class RelatedEngine:
         return pair_scores(self.filters, pairs)
 
     def candidates(self, doc_id: int) -> DataFrame | None:
-        """(doc_id) of the documents to compare; null means all, which a corpus below the sampling threshold gives."""
+        """(doc_id) of a sample to compare; null means all, which a corpus below the sampling threshold gives.
+
+        For callers that ask for a sample; ``related`` compares all documents at every corpus size.
+        """
         own = self.config
         if not own.enable_sampling or self.documents <= own.sample_size_threshold:
             return None
@@ -107,11 +110,8 @@ class RelatedEngine:
         return pick.smart_candidates_by_bitmap(self.corpus, self.filters, doc_id, most, now, own.seed)
 
     def related(self, doc_id: int, most: int | None = None) -> DataFrame:
-        """(doc_id, path, similarity): the documents most related to one, best first; none if it isn't indexed."""
-        found = similar_to_one(
-            self.filters, doc_id, most or self.config.max_suggestions,
-            threshold=self.config.similarity_threshold, candidates=self.candidates(doc_id),
-        )
+        """(doc_id, path, similarity): the documents most related to one, of all; best first, none if it isn't indexed."""
+        found = similar_to_one(self.filters, doc_id, most or self.config.max_suggestions, threshold=self.config.similarity_threshold)
         return self.corpus.select("doc_id", "path").join(F.broadcast(found), "doc_id").orderBy(F.desc("similarity"), "doc_id")
 
     def related_to_all(self, queries: DataFrame, most: int | None = None) -> DataFrame:

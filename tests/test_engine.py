@@ -114,6 +114,17 @@ def test_engine_with_sampling_and_empty_corpus(spark):
     assert empty.related(1).collect() == [] and empty.stats().first().documents == 0
 
 
+def test_related_compares_all_documents_above_the_sampling_threshold(spark):
+    texts = {i: f"filler{i} words{i} of{i} no{i} interest{i} here{i}" for i in range(1, 40)}
+    query = " ".join(f"topic{i}" for i in range(40))
+    # the query's best match shares few of its words and comes last, behind documents with one word each
+    texts |= {50: query, 51: " ".join(f"topic{i}" for i in range(39)), **{i: f"topic{i % 40} plus some words{i}" for i in range(10, 40)}}
+    config = EngineConfig(adaptive_stopwords=False, sample_size_threshold=3, word_index_threshold=3, max_sample_size=5)
+    for sampled in (config, config.with_overrides({"word_index_threshold": 750})):
+        found = RelatedEngine(corpus(spark, texts), sampled, now=datetime(2026, 1, 1)).related(50).collect()
+        assert found == RelatedEngine(corpus(spark, texts), PLAIN).related(50).collect() and found[0].doc_id == 51 and len(found) == 5
+
+
 def test_settings():
     assert DEFAULT.filter_bits(10) == 8192 and DEFAULT.filter_bits(5001) == 4096 and DEFAULT.text_limit(5001) == 5000
     assert EngineConfig(bits=100).filter_bits(1) == 128
