@@ -53,21 +53,26 @@ def token_counts(df: DataFrame, id_col: str, source_col: str, text_col: str, tok
     return rows.mapInArrow(_count_tokens(tokenizer), "doc_id bigint, source string, tokens bigint").distinct()
 
 
-def pfair(weights: dict[str, Fraction], slots: int) -> list[str]:
-    """The source of each slot, by earliest deadline among the released blocks."""
+def pfair(weights: dict[str, Fraction], slots: int, blocks: dict[str, int] | None = None) -> list[str]:
+    """The source of each slot, by earliest deadline among the released blocks.
+
+    With ``blocks``, a source leaves once it has so many. Where that leaves a slot without a
+    released block, the next to be released takes it; ``slots`` are no more than all blocks.
+    """
     total = sum(weights.values())
     shares = {s: w / total for s, w in weights.items() if w > 0}
-    waiting = [(0, s, 0) for s in sorted(shares)]  # release, source, block
+    waiting = [(0, s, 0) for s in sorted(shares) if blocks is None or blocks[s] > 0]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     order = []
     for slot in range(slots):
-        while waiting and waiting[0][0] <= slot:
+        while waiting and (waiting[0][0] <= slot or not ready):
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (ceil((j + 1) / shares[s]), s, j))
         _, s, j = heapq.heappop(ready)
         order.append(s)
-        heapq.heappush(waiting, (floor((j + 1) / shares[s]), s, j + 1))
+        if blocks is None or j + 1 < blocks[s]:
+            heapq.heappush(waiting, (floor((j + 1) / shares[s]), s, j + 1))
     return order
 
 
@@ -119,8 +124,9 @@ class Mixture:
         """(source, block, slot), all blocks of the mixture in their order."""
         placed: dict[str, int] = {}
         rows = []
-        # a slot more for each source, since its last block may be a part of one
-        for slot, source in enumerate(pfair(self.weights, -(-self.total // self.block) + len(self.weights))) if self.weights else ():
+        # every block in which a use can start, the last of a source being a part of one
+        blocks = {s: -(-budget // self.block) for s, budget in self.budget.items()}
+        for slot, source in enumerate(pfair(self.weights, sum(blocks.values()), blocks)):
             rows.append((source, placed.get(source, 0), slot))
             placed[source] = placed.get(source, 0) + 1
         return rows

@@ -71,3 +71,22 @@ def test_a_requested_total_and_empty_tables(spark, corpus):
     assert Mixture(corpus.limit(0), targets).rows().collect() == []
     assert Mixture(corpus.limit(0), targets).shares().count() == 6
     assert Mixture(corpus, targets.limit(0)).rows().collect() == []
+
+
+def test_every_source_has_all_its_blocks():
+    weights = {"a": Fraction(61, 100), "b": Fraction(30, 100), "c": Fraction(7, 100), "d": Fraction(2, 100)}
+    for total in [*range(1, 4000, 37), 16 * 75, 16 * 3540 + 3]:
+        mix = Mixture.__new__(Mixture)
+        mix.weights, mix.total, mix.block = weights, total, 16
+        mix.budget = {s: floor(w * total) for s, w in weights.items()}
+        placed = {s: [b for x, b, _ in mix.schedule() if x == s] for s in weights}
+        assert placed == {s: list(range(ceil(n / 16))) for s, n in mix.budget.items()}
+
+
+def test_no_use_is_lost_between_uses_and_slots(spark):
+    rows = [(i, "big", "the") for i in range(2000)] + [(5000 + i, "small", "the") for i in range(60)]
+    targets = spark.createDataFrame([("big", 0.98, 1), ("small", 0.02, 1)], PLAIN)
+    for total in (75, 1200, 1000):
+        mix = Mixture(documents(spark, rows), targets, total_tokens=total, block_tokens=16)
+        reached = {r.source: r.tokens for r in mix.shares().collect()}
+        assert reached == mix.budget and sum(mix.budget.values()) >= total - 1
