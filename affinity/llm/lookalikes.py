@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.pairs import EXPAND_LIMIT
 from affinity.session import cut
 
 # Letters of one shape in the Latin, Greek, Cyrillic and Armenian scripts.
@@ -30,6 +29,8 @@ aаɑ cсϲ dԁ eе gɡ hһհ iі jјϳ lӏ nո oοоօ pрρ qԛ sѕ uսυ vν
 """.split()
 # Characters that show nothing and are not in the category of format characters.
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
+#: Records of a group in a block, at most about; a pair of blocks is joined by one task.
+GROUP_BLOCK = 1000
 
 
 def invisible(c: str) -> bool:
@@ -172,13 +173,17 @@ def consistent_text(df: DataFrame, id_col: str, text_col: str, *, table: dict[st
     return rows.withColumn("text", F.pandas_udf(run, "string")("original"))
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, *, expand_limit: int = EXPAND_LIMIT) -> DataFrame:
+def look_alike_pairs(
+    df: DataFrame, id_col: str, text_col: str, *, expand_limit: int | None = None, block: int = GROUP_BLOCK
+) -> DataFrame:
     """(id_a, id_b; id_a < id_b): records whose texts differ as strings and have one consistent form.
 
     Null texts, and texts that are empty or show nothing, form no pair; nor do null ids. Rows
-    repeated in full count once. A group of up to ``expand_limit`` records gives all its
-    pairs. In a larger one, each record gets one pair: with the group's first record, or
-    where it has that record's string, with the first record of another string.
+    repeated in full count once. Every group gives all its pairs; one of more than ``block``
+    records is cut into blocks, whose pairs are spread over the tasks.
+
+    Only where ``expand_limit`` is asked for, a larger group gives one pair a record: with the
+    group's first record, or where it has that record's string, with the first record of another string.
     """
     rows = (
         consistent_text(df.where(F.col(id_col).isNotNull()), id_col, text_col)
@@ -191,12 +196,18 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, *, expand_limit:
         F.count("*").alias("c"), first.alias("first"), F.min("raw").alias("least"), F.max("raw").alias("most")
     )
     rows = cut(rows.join(groups.where(F.col("least") != F.col("most")), "key"))
-    small = rows.where(F.col("c") <= expand_limit).select("key", "id", "raw")
-    a, b = small.alias("a"), small.alias("b")
+    small = rows if expand_limit is None else rows.where(F.col("c") <= expand_limit)
+    blocks = F.ceil(F.col("c") / block)
+    small = small.select("key", "id", "raw", F.pmod(F.xxhash64("id", "raw"), blocks).alias("own"), F.sequence(F.lit(0).cast("bigint"), blocks - 1).alias("others"))
+    a = small.select("key", "id", "raw", F.col("own").alias("i"), F.explode("others").alias("j")).alias("a")
+    b = small.select("key", "id", "raw", F.explode("others").alias("i"), F.col("own").alias("j")).alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
     pairs = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")))
+        a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")))
         .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     )
+    if expand_limit is None:
+        return pairs.distinct()
     large = rows.where(F.col("c") > expand_limit)
     other = (
         large.where(F.col("raw") != F.col("first.raw")).groupBy("key").agg(F.min("id").alias("other"))

@@ -59,3 +59,12 @@ def test_consistent_text_keeps_nulls_and_all_rows(spark):
     got = {r.id: r.text for r in consistent_text(frame(spark, [(1, None), (2, ""), (3, "ａ b"), (4, "a b")]), "note_id", "text").collect()}
     assert got == {1: None, 2: "", 3: "a b", 4: "a b"}
     assert all(t is None or unicodedata.is_normalized("NFC", t) for t in got.values())
+
+
+def test_a_large_group_gives_all_pairs_of_different_texts(spark):
+    strings = ["abc", "аbc", "abс"]
+    rows = [(i, strings[i % 3]) for i in range(1200)]
+    wanted = {(a, b) for a, s in rows for b, t in rows if a < b and s != t}
+    found = pairs(spark, rows)
+    assert len(found) == len(wanted) == 480_000 and set(found) == wanted
+    assert set(pairs(spark, rows[:60], block=7)) == {(a, b) for a, b in wanted if b < 60}
