@@ -12,7 +12,8 @@ class EngineConfig:
 
     bits: int | None = None
     hashes: int = 3
-    char_limit: int | None = None
+    char_limit: int | None = None  # texts are cut to it, if it is given
+    whole_texts: bool = True  # false cuts texts by corpus size, as the original does
     large_corpus: int = 5000  # documents beyond which filters and texts are half as large
     max_text: int = 10 * 1024 * 1024  # longer texts are not indexed
     min_word_length: int = 2
@@ -55,7 +56,13 @@ class EngineConfig:
     def text_limit(self, documents: int) -> int:
         return self.char_limit or (5000 if documents > self.large_corpus else 10_000)
 
+    def text_bound(self, documents: int) -> int | None:
+        """Characters that texts are cut to; null leaves them whole."""
+        return self.char_limit if self.whole_texts else self.text_limit(documents)
+
 
 DEFAULT = EngineConfig()
+#: The sizes of the original provider, which cuts texts by corpus size.
+COMPAT = EngineConfig(whole_texts=False)
 #: The older single-size provider: 256 bits, words of one tokenization and up to 300 word pairs.
 LEGACY = EngineConfig(bits=256, stopword_documents=100, similarity_threshold=0.1, max_suggestions=10)

@@ -9,10 +9,10 @@ from affinity.config import EngineConfig
 from affinity.functions.text import CJK, meaningful, term_array, truncated, with_tokens, word_pairs
 
 
-def bounded(corpus: DataFrame, config: EngineConfig, limit: int) -> DataFrame:
-    """The corpus without texts that are too large, the rest cut to ``limit`` characters; a null text is empty."""
+def bounded(corpus: DataFrame, config: EngineConfig, limit: int | None) -> DataFrame:
+    """The corpus without texts that are too large, the rest cut to ``limit`` characters if it is given; a null text is empty."""
     rows = corpus.withColumn("text", F.coalesce("text", F.lit(""))).where(F.length("text") <= config.max_text)
-    return rows.withColumn("text", truncated(F.col("text"), limit))
+    return rows if limit is None else rows.withColumn("text", truncated(F.col("text"), limit))
 
 
 def tokenized(corpus: DataFrame) -> DataFrame:

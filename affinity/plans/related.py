@@ -57,7 +57,7 @@ class RelatedEngine:
         if self.legacy:
             rows = self.corpus.withColumn("text", F.coalesce("text", F.lit("")))
             return rows.where(F.length("text") <= self.config.max_text)
-        return bounded(self.corpus, self.config, self.config.text_limit(self.documents))
+        return bounded(self.corpus, self.config, self.config.text_bound(self.documents))
 
     @cached_property
     def tokens(self) -> DataFrame:

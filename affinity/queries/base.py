@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import SparkSession
 
-from affinity.config import DEFAULT, LEGACY, EngineConfig
+from affinity.config import COMPAT, LEGACY, EngineConfig
 from affinity.functions.text import BLANKS, EXTENSIONS, STOPWORDS
 from affinity.plans.related import RelatedEngine
 from affinity.sources.corpus import document_corpus
@@ -17,7 +17,8 @@ QUERY = 51
 NOW = datetime(2024, 11, 1)
 
 
-def engine(spark: SparkSession, folder: str, config: EngineConfig = DEFAULT) -> RelatedEngine:
+def engine(spark: SparkSession, folder: str, config: EngineConfig = COMPAT) -> RelatedEngine:
+    """The engine of the queries, by default in the form that their SQL fixes; the ``_whole`` queries take the engine's own default."""
     return RelatedEngine(document_corpus(spark, folder), config, now=NOW)
 
 
@@ -186,6 +187,10 @@ PARTS: dict[str, str] = {
 }
 
 
+#: The parts that differ in the SQL of the ``_whole`` queries.
+WHOLE = {"texts": "SELECT doc_id, text FROM docs WHERE length(text) <= 10485760"}
+
+
 def sql(select: str, **more: str) -> str:
     """A statement of ``select`` with the parts that it needs in front."""
     parts = PARTS | more

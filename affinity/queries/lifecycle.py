@@ -84,7 +84,7 @@ def _changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _live(spark: SparkSession, folder: str) -> tuple[LiveIndex, DataFrame]:
     own = engine(spark, folder)
-    return LiveIndex(spark, _place(spark), own.bits, own.config), cut(_changes(spark, folder))
+    return LiveIndex(spark, _place(spark), own.bits, own.config, documents=own.documents), cut(_changes(spark, folder))
 
 
 def incremental_upsert(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.config import DEFAULT
+from affinity.config import COMPAT, DEFAULT, EngineConfig
 from affinity.functions import bloom
 from affinity.functions.hashing import hashes
 from affinity.operators import candidates as pick
@@ -14,7 +16,7 @@ from affinity.operators.bitmap import bit_words, build_filters, term_bits
 from affinity.operators.order import with_sequence
 from affinity.operators.terms import document_terms, preprocessed, tokenized
 from affinity.plans.related import RelatedEngine
-from affinity.queries.base import NOW, QUERY, engine, filter_parts, hash_sql, legacy_engine, score_sql, seeded_sql, sql, token_parts
+from affinity.queries.base import NOW, QUERY, WHOLE, engine, filter_parts, hash_sql, legacy_engine, score_sql, seeded_sql, sql, token_parts
 from affinity.session import cut
 from affinity.sources.tables import table
 
@@ -121,8 +123,8 @@ def common_terms(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id_a", "id_b", F.array_join("terms", "|").alias("terms"))
 
 
-def word_index(spark: SparkSession, folder: str) -> DataFrame:
-    return engine(spark, folder).words.select("doc_id", "word")
+def word_index(spark: SparkSession, folder: str, config: EngineConfig = COMPAT) -> DataFrame:
+    return engine(spark, folder, config).words.select("doc_id", "word")
 
 
 def word_index_sequential(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,6 +211,8 @@ QUERIES = {
     )
 }
 
+QUERIES["word_index_whole"] = partial(word_index, config=DEFAULT)
+
 _MANY = f"""SELECT query_id, doc_id, similarity, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (
         SELECT p.query_id, p.doc_id, {score_sql('a.n', 'b.n', 'p.c', 'm', '3')} AS similarity
@@ -280,6 +284,7 @@ SQL = {
     "optimal_params": sql("""SELECT doc_id, bits, greatest(1, floor(bits::DOUBLE / n * ln(2) + 0.5))::BIGINT AS hashes FROM (
         SELECT doc_id, count(*) AS n, (ceil(ceil(count(*) * (-ln(0.01) / pow(ln(2), 2))) / 32) * 32)::BIGINT AS bits FROM term_rows GROUP BY doc_id)"""),
     "word_index": sql("SELECT doc_id, word FROM windex"),
+    "word_index_whole": sql("SELECT doc_id, word FROM windex", **WHOLE),
     "docs_with_word": sql("SELECT doc_id FROM windex WHERE word = 'glossary'"),
     "docs_with_any_word": sql(f"""SELECT doc_id FROM windex WHERE list_contains({LOOKUPS!r}, word) AND doc_id <> {QUERY} GROUP BY doc_id
         ORDER BY min(list_position({LOOKUPS!r}, word)), doc_id LIMIT 100"""),

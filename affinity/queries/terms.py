@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinity.config import COMPAT, DEFAULT, EngineConfig
 from affinity.functions import text as fn
 from affinity.functions.hashing import code_units, djb2, fnv1a, hashes, sdbm
 from affinity.operators import stats
 from affinity.operators.order import running_averages
 from affinity.operators.stopwords import adaptive_stopwords, term_frequency, word_rows
-from affinity.queries.base import CJK, PARTS, engine, hash_sql, kept_sql, legacy_engine, sql, stem_sql, token_parts, url_sql  # noqa: F401
+from affinity.queries.base import CJK, PARTS, WHOLE, engine, hash_sql, kept_sql, legacy_engine, sql, stem_sql, token_parts, url_sql  # noqa: F401
 from affinity.sources.corpus import document_corpus, note_corpus
 from affinity.sources.tables import table
 
@@ -85,12 +88,12 @@ def hash_terms(spark: SparkSession, folder: str) -> DataFrame:
     return terms.select("term", fnv1a(F.col("u")).alias("h0"), djb2(F.col("u")).alias("h1"), sdbm(F.col("u")).alias("h2"), hashes(F.col("term"), 4)[3].alias("h3"))
 
 
-def term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    return term_frequency(engine(spark, folder).tokens).select("word", "tf")
+def term_frequencies(spark: SparkSession, folder: str, config: EngineConfig = COMPAT) -> DataFrame:
+    return term_frequency(engine(spark, folder, config).tokens).select("word", "tf")
 
 
-def doc_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    return term_frequency(engine(spark, folder).tokens).select("word", "df")
+def doc_frequencies(spark: SparkSession, folder: str, config: EngineConfig = COMPAT) -> DataFrame:
+    return term_frequency(engine(spark, folder, config).tokens).select("word", "df")
 
 
 def stopwords(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,8 +127,8 @@ def recommend_params(spark: SparkSession, folder: str) -> DataFrame:
     return stats.recommended_parameters(stats.corpus_stats(own.corpus, own.terms), own.config)
 
 
-def words_per_document(spark: SparkSession, folder: str) -> DataFrame:
-    return word_rows(engine(spark, folder).tokens).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("word").alias("distinct_n"))
+def words_per_document(spark: SparkSession, folder: str, config: EngineConfig = COMPAT) -> DataFrame:
+    return word_rows(engine(spark, folder, config).tokens).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("word").alias("distinct_n"))
 
 
 QUERIES = {
@@ -137,8 +140,11 @@ QUERIES = {
     "running_corpus_stats": running_corpus_stats, "recommend_params": recommend_params, "words_per_document": words_per_document,
 }
 
+QUERIES |= {f"{n}_whole": partial(QUERIES[n], config=DEFAULT) for n in ("term_frequency", "doc_frequency", "words_per_document")}
+
 _POSITIONS = "SELECT {key}, unnest(range(len(tokens))) AS pos, unnest(tokens) AS {term} FROM {source}"
 _COUNTED = "SELECT word, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, lower(unnest(tokens)) AS word FROM toks) WHERE length(word) > 2 GROUP BY word"
+_PER_DOC = "SELECT doc_id, count(*) AS n, count(DISTINCT word) AS distinct_n FROM (SELECT doc_id, lower(unnest(tokens)) AS word FROM toks) WHERE length(word) > 2 GROUP BY doc_id"
 _SPACE = fn.SPACE
 _STATS = """SELECT count(*) AS documents, round(avg(length), 6) AS avg_length, min(length) AS min_length, max(length) AS max_length,
     round(avg(v), 6) AS avg_vocabulary, min(v) AS min_vocabulary, max(v) AS max_vocabulary
@@ -178,4 +184,7 @@ SQL = {
     "running_corpus_stats": sql("SELECT doc_id, count(*) OVER w AS n, round(avg(length(text)) OVER w, 6) AS avg_length FROM docs WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)"),
     "recommend_params": sql(f"""SELECT 3 AS ngram, m AS bits, greatest(1, floor(m::DOUBLE / ceil(avg_vocabulary * 2.25) * ln(2) + 0.5))::BIGINT AS hashes, 0.15::DOUBLE AS similarity_threshold FROM ({_STATS}), conf"""),
     "words_per_document": sql("SELECT doc_id, count(*) AS n, count(DISTINCT word) AS distinct_n FROM (SELECT doc_id, lower(unnest(tokens)) AS word FROM toks) WHERE length(word) > 2 GROUP BY doc_id"),
+    "term_frequency_whole": sql(f"SELECT word, tf FROM ({_COUNTED})", **WHOLE),
+    "doc_frequency_whole": sql(f"SELECT word, df FROM ({_COUNTED})", **WHOLE),
+    "words_per_document_whole": sql(_PER_DOC, **WHOLE),
 }

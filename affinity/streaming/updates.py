@@ -27,12 +27,12 @@ def last_changes(changes: DataFrame) -> DataFrame:
 
 
 class LiveIndex:
-    """An index in segments below a folder."""
+    """An index in segments below a folder. ``documents`` is the size of the corpus, where texts are cut by it."""
 
-    def __init__(self, spark: SparkSession, folder: str, bits: int, config: EngineConfig = DEFAULT, common: list[str] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, bits: int, config: EngineConfig = DEFAULT, common: list[str] | None = None, *, documents: int = 0):
         self.spark, self.files = spark, Files(spark, folder)
         self.bits, self.config, self.common = bits, config, common
-        self.limit = config.text_limit(0)
+        self.limit = config.text_bound(documents)
 
     def filters_of(self, texts: DataFrame) -> DataFrame:
         """Filters of (doc_id, text), by the same steps as a full build; the stopwords stay as they were learned."""

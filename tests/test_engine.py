@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinity.config import DEFAULT, EngineConfig
+from affinity.config import COMPAT, DEFAULT, EngineConfig
 from affinity.functions import bloom
 from affinity.functions.hashing import hash_matrix, hashes
 from affinity.operators import links, postings, similarity
@@ -125,6 +125,24 @@ def test_related_compares_all_documents_above_the_sampling_threshold(spark):
         assert found == RelatedEngine(corpus(spark, texts), PLAIN).related(50).collect() and found[0].doc_id == 51 and len(found) == 5
 
 
+def test_texts_are_whole_unless_asked_for(spark, tmp_path):
+    texts = {i: "one two three " * 2000 + f"last{i}" for i in range(1, 4)}
+    plain = {"adaptive_stopwords": False, "large_corpus": 2}
+    for config, held in ((DEFAULT.with_overrides(plain), True), (COMPAT.with_overrides(plain), False), (DEFAULT.with_overrides({**plain, "char_limit": 50}), False)):
+        own = RelatedEngine(corpus(spark, texts), config)
+        assert {r.doc_id for r in own.tokens.where(F.array_contains("tokens", F.concat(F.lit("last"), "doc_id"))).collect()} == (set(texts) if held else set())
+        live = LiveIndex(spark, str(tmp_path / f"live{held}{config.char_limit}"), own.bits, config, documents=own.documents)
+        assert sorted(live.filters_of(own.corpus).collect()) == sorted(own.filters.collect())
+
+
+def test_a_live_index_cuts_texts_like_the_full_build(spark, tmp_path):
+    texts = {i: " ".join(f"w{j}x{i}" for j in range(1200)) for i in range(1, 4)}
+    config = COMPAT.with_overrides({"adaptive_stopwords": False, "large_corpus": 2})
+    own = RelatedEngine(corpus(spark, texts), config)
+    live = LiveIndex(spark, str(tmp_path / "live"), own.bits, config, documents=own.documents)
+    assert sorted(live.filters_of(own.corpus).collect()) == sorted(own.filters.collect())
+
+
 def test_settings():
     assert DEFAULT.filter_bits(10) == 8192 and DEFAULT.filter_bits(5001) == 4096 and DEFAULT.text_limit(5001) == 5000
     assert EngineConfig(bits=100).filter_bits(1) == 128
