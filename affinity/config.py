@@ -18,7 +18,7 @@ class EngineConfig:
     max_text: int = 10 * 1024 * 1024  # longer texts are not indexed
     min_word_length: int = 2
     adaptive_stopwords: bool = True
-    stopword_mode: str = "first"  # of the first documents, or of the "corpus"
+    stopword_mode: str = "corpus"  # of all documents, or of the "first", as the original learns them
     stopword_documents: int = 30
     stopword_min_df: int = 5
     common_words_threshold: float = 0.5
@@ -62,7 +62,7 @@ class EngineConfig:
 
 
 DEFAULT = EngineConfig()
-#: The sizes of the original provider, which cuts texts by corpus size.
-COMPAT = EngineConfig(whole_texts=False)
+#: The form of the original provider, which cuts texts by corpus size and learns stopwords from the first documents.
+COMPAT = EngineConfig(whole_texts=False, stopword_mode="first")
 #: The older single-size provider: 256 bits, words of one tokenization and up to 300 word pairs.
-LEGACY = EngineConfig(bits=256, stopword_documents=100, similarity_threshold=0.1, max_suggestions=10)
+LEGACY = EngineConfig(bits=256, stopword_mode="first", stopword_documents=100, similarity_threshold=0.1, max_suggestions=10)

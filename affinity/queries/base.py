@@ -188,7 +188,18 @@ PARTS: dict[str, str] = {
 
 
 #: The parts that differ in the SQL of the ``_whole`` queries.
-WHOLE = {"texts": "SELECT doc_id, text FROM docs WHERE length(text) <= 10485760"}
+WHOLE = {
+    "texts": "SELECT doc_id, text FROM docs WHERE length(text) <= 10485760",
+    "stop": """SELECT word, df, coverage, rank FROM (
+        SELECT word, df, df / n AS coverage, row_number() OVER (ORDER BY df DESC, first_doc, first_pos) AS rank FROM (
+            SELECT word, count(*) AS df, min(doc_id) AS first_doc, arg_min(pos, doc_id) AS first_pos FROM (
+                SELECT word, doc_id, min(pos) AS pos FROM (
+                    SELECT doc_id, lower(unnest(tokens)) AS word, unnest(range(len(tokens))) AS pos FROM toks
+                ) WHERE length(word) > 2 GROUP BY word, doc_id
+            ) GROUP BY word HAVING count(*) >= 5
+        ), conf) WHERE coverage >= 0.5 OR rank <= 200""",
+    "since": "SELECT min(doc_id) AS since, coalesce((SELECT list(word) FROM stop), []) AS common FROM docs",
+}
 
 
 def sql(select: str, **more: str) -> str:

@@ -102,14 +102,19 @@ def stopwords(spark: SparkSession, folder: str) -> DataFrame:
     return adaptive_stopwords(own.tokens.join(first, "doc_id", "left_semi"), 30, own.config)
 
 
+def corpus_stopwords(spark: SparkSession, folder: str) -> DataFrame:
+    own = engine(spark, folder, DEFAULT)
+    return adaptive_stopwords(own.tokens, own.documents, own.config)
+
+
 def legacy_stopwords(spark: SparkSession, folder: str) -> DataFrame:
     own = legacy_engine(spark, folder)
     first = own.corpus.select("doc_id").orderBy("doc_id").limit(100)
     return adaptive_stopwords(own.tokens.join(first, "doc_id", "left_semi"), 100, own.config)
 
 
-def filtered_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return engine(spark, folder).filtered
+def filtered_terms(spark: SparkSession, folder: str, config: EngineConfig = COMPAT) -> DataFrame:
+    return engine(spark, folder, config).filtered
 
 
 def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +145,8 @@ QUERIES = {
     "running_corpus_stats": running_corpus_stats, "recommend_params": recommend_params, "words_per_document": words_per_document,
 }
 
-QUERIES |= {f"{n}_whole": partial(QUERIES[n], config=DEFAULT) for n in ("term_frequency", "doc_frequency", "words_per_document")}
+QUERIES |= {f"{n}_whole": partial(QUERIES[n], config=DEFAULT) for n in ("term_frequency", "doc_frequency", "words_per_document", "filtered_terms")}
+QUERIES["adaptive_stopwords_whole"] = corpus_stopwords
 
 _POSITIONS = "SELECT {key}, unnest(range(len(tokens))) AS pos, unnest(tokens) AS {term} FROM {source}"
 _COUNTED = "SELECT word, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, lower(unnest(tokens)) AS word FROM toks) WHERE length(word) > 2 GROUP BY word"
@@ -186,5 +192,7 @@ SQL = {
     "words_per_document": sql("SELECT doc_id, count(*) AS n, count(DISTINCT word) AS distinct_n FROM (SELECT doc_id, lower(unnest(tokens)) AS word FROM toks) WHERE length(word) > 2 GROUP BY doc_id"),
     "term_frequency_whole": sql(f"SELECT word, tf FROM ({_COUNTED})", **WHOLE),
     "doc_frequency_whole": sql(f"SELECT word, df FROM ({_COUNTED})", **WHOLE),
+    "adaptive_stopwords_whole": sql("SELECT word, df, coverage, rank FROM stop", **WHOLE),
+    "filtered_terms_whole": sql("SELECT doc_id, text FROM filtered", **WHOLE),
     "words_per_document_whole": sql(_PER_DOC, **WHOLE),
 }

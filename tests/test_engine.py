@@ -143,6 +143,15 @@ def test_a_live_index_cuts_texts_like_the_full_build(spark, tmp_path):
     assert sorted(live.filters_of(own.corpus).collect()) == sorted(own.filters.collect())
 
 
+def test_stopwords_are_learned_from_all_documents(spark):
+    texts = {i: ("aurora" if i < 30 else "bridge") + f" comet own{i}" for i in range(90)}
+    config = DEFAULT.with_overrides({"max_stopwords": 1, "common_words_threshold": 0.6})
+    own = RelatedEngine(corpus(spark, texts), config)
+    assert set(own.common[0]) == {"comet", "bridge"} and own.common[1] is None
+    assert {r.doc_id: r.text for r in own.filtered.collect()} == {i: f"aurora own{i}" if i < 30 else f"own{i}" for i in texts}
+    assert set(RelatedEngine(corpus(spark, texts), config.with_overrides({"stopword_mode": "first"})).common[0]) == {"aurora", "comet"}
+
+
 def test_settings():
     assert DEFAULT.filter_bits(10) == 8192 and DEFAULT.filter_bits(5001) == 4096 and DEFAULT.text_limit(5001) == 5000
     assert EngineConfig(bits=100).filter_bits(1) == 128
