@@ -1,9 +1,10 @@
+import random
 from fractions import Fraction
 from math import ceil, floor
 
 import pytest
 
-from affinity.llm.mixture import Mixture, pfair, token_counts
+from affinity.llm.mixture import Mixture, pfair, token_counts, units
 
 PLAIN = "source string, target_share double, max_repeats int"
 
@@ -73,14 +74,36 @@ def test_a_requested_total_and_empty_tables(spark, corpus):
     assert Mixture(corpus, targets.limit(0)).rows().collect() == []
 
 
-def test_every_source_has_all_its_blocks():
-    weights = {"a": Fraction(61, 100), "b": Fraction(30, 100), "c": Fraction(7, 100), "d": Fraction(2, 100)}
-    for total in [*range(1, 4000, 37), 16 * 75, 16 * 3540 + 3]:
+def test_every_block_has_a_slot_of_its_own_and_no_source_is_a_block_off():
+    shares = {"a": Fraction(61, 100), "b": Fraction(30, 100), "c": Fraction(7, 100), "d": Fraction(2, 100)}
+    for total in [*range(1, 4000, 97), 16 * 75, 16 * 3540 + 3]:
         mix = Mixture.__new__(Mixture)
-        mix.weights, mix.total, mix.block = weights, total, 16
-        mix.budget = {s: floor(w * total) for s, w in weights.items()}
-        placed = {s: [b for x, b, _ in mix.schedule() if x == s] for s in weights}
-        assert placed == {s: list(range(ceil(n / 16))) for s, n in mix.budget.items()}
+        mix.targets, mix.block = {s: (w, 1) for s, w in shares.items()}, 16
+        mix.plan(dict.fromkeys(shares, total), dict.fromkeys(shares, 1), total)
+        slots = {(s, phase): slot for s, phase, slot in mix.schedule()}
+        placed = {
+            (s, j): slots[s, j % mix.units[s]] + j // mix.units[s] * mix.period for s, n in mix.budget.items() for j in range(ceil(n / 16))
+        }
+        assert len(set(placed.values())) == len(placed)
+        for (s, j), slot in placed.items():
+            assert floor(j / shares[s]) <= slot < ceil((j + 1) / shares[s])
+
+
+def test_units_are_exact_or_rounded_to_the_most():
+    assert units({"a": Fraction("0.18"), "b": Fraction("0.12")}) == {"a": 3, "b": 2}
+    assert units({"a": Fraction(1, 3), "b": Fraction(2, 3), "c": Fraction(1, 10**12)}, 1000) == {"a": 333, "b": 667, "c": 1}
+    assert units({}) == {}
+
+
+def test_random_weights_reach_their_budgets(spark):
+    rng = random.Random(3)
+    for lane in (7, 1000):
+        names = [f"s{i}" for i in range(9)]
+        rows = [(i, rng.choice(names), "the " * rng.randrange(1, 40)) for i in range(900)]
+        targets = [(s, rng.random(), rng.randrange(1, 5)) for s in names]
+        mix = Mixture(documents(spark, rows), spark.createDataFrame(targets, PLAIN), block_tokens=16, lane_documents=lane)
+        reached = {r.source: r.tokens for r in mix.shares().collect()}
+        assert all(abs(reached[s] - mix.budget[s]) <= 40 for s in names) and mix.total > 1000
 
 
 def test_no_use_is_lost_between_uses_and_slots(spark):
