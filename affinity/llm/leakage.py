@@ -1,10 +1,14 @@
 """Passages of held-out items inside a corpus.
 
-Windows of as many words as a passage must have are given a SimHash fingerprint of their
-word pairs. Fingerprints are split into one block more than the Hamming radius, so two within the
-radius agree in a block, and an index by each block finds all of them. A candidate
-is then verified by the exact weighted similarity of the windows' word pairs. Equal windows
-have equal fingerprints, so no repeated passage is lost.
+Windows of words are given a SimHash fingerprint. Every item has windows of nearly its own size, at all
+of its offsets; documents have windows of the same sizes at every step that such a window allows, so that
+a copy of an item always holds one of them. Fingerprints are split into one block more than the
+Hamming radius, so two within the radius agree in a block, and an index by each block finds all of them.
+
+Of an item that leaked in part, a window of its size differs in most words. So items also have windows of
+the words of a passage, the least that counts as a leak; there documents have one at every word, and equal
+windows have equal fingerprints. Candidates are verified exactly: the longest run of equal words, and
+the weighted similarity of five-word shingles between the item and the place in the document.
 """
 
 from __future__ import annotations
@@ -21,18 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.lookalikes import static_table
+from affinity.session import cut
 
-#: Words of a passage, and Hamming radius of the fingerprints.
+#: Words of a passage.
 PASSAGE = 13
-RADIUS = 2
-#: Items that are held at once; more are taken in blocks, each against all documents.
-ITEM_BLOCK = 50_000
+#: Hamming radius of windows of an item's size. Windows of a passage need none.
+RADIUS = 4
+#: Words of a shingle, and the weighted similarity from which a changed copy counts.
+SHINGLE = 5
+LEAST = 0.8
+#: Words of items that are held at once; more are taken in blocks, each against all documents.
+BLOCK_WORDS = 1_000_000
 #: Words whose bits are held at once.
 CHUNK = 1 << 15
+#: Step from one window size to the next.
+GROWTH = 1.25
 
 INLINE_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 BREAK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr)\b[^<>]*>", re.I)
 WORD = re.compile(r"[^\W_]+")
+FOUND = "doc_id bigint, item_id bigint, first_word bigint, run bigint, similarity double"
 
 
 @lru_cache(maxsize=1)
@@ -76,148 +88,228 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(codes: np.ndarray) -> np.ndarray:
-    """A hash of each two consecutive words."""
-    return _mixed(codes[:-1] * np.uint64(3) + _mixed(codes[1:]))
-
-
-def fingerprints(codes: np.ndarray, window: int) -> np.ndarray:
-    """The SimHash of each window of consecutive words: each bit is that of most of its word pairs."""
-    pairs = window - 1
-    if len(codes) < window:
+def shingles(codes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """A hash of each ``size`` consecutive words."""
+    n = len(codes) - size + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    bits = np.unpackbits(shingles(codes).view(np.uint8).reshape(-1, 8), axis=1)
-    # sums over 1, 2, 4, ... pairs, put together to the window's number of them
-    total, at, width, power = None, 0, 1, bits
-    n = len(codes) - window + 1
-    while True:
-        if pairs & width:
-            part = power[at : at + n]
-            total = part.copy() if total is None else total + part
-            at += width
-        width *= 2
-        if width > pairs:
-            break
-        power = power[: -width // 2] + power[width // 2 :]
-    return np.packbits(total > pairs // 2, axis=1).view(np.uint64).ravel()
+    total = np.zeros(n, np.uint64)
+    for i in range(size):
+        total = _mixed(total + codes[i : i + n])
+    return total
 
 
-class WindowIndex:
-    """The windows of the items, by the blocks of their fingerprints."""
+def word_bits(codes: np.ndarray) -> np.ndarray:
+    """The 64 bits of each word, a byte each."""
+    return np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1)
 
-    def __init__(self, texts: list[tuple[int, str]], window: int = PASSAGE, radius: int = RADIUS):
-        self.window, self.radius = window, radius
-        coder = Coder()
-        prints, owners, starts, codes, base = [], [], [], [], 0
-        for i, (_, text) in enumerate(texts):
-            own = np.array(coder(text), np.uint64)
-            own_prints = fingerprints(own, window)
-            prints.append(own_prints)
-            owners.append(np.full(len(own_prints), i))
-            starts.append(base + np.arange(len(own_prints)))
-            codes.append(own)
-            base += len(own)
-        self.items = [i for i, _ in texts]
-        self.prints = np.concatenate([*prints, np.empty(0, np.uint64)])
-        self.owner = np.concatenate([*owners, np.empty(0, np.int64)]).astype(np.int64)
-        self.start = np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64)
-        self.codes = np.concatenate([*codes, np.empty(0, np.uint64)])
-        pairs = shingles(self.codes) if base > 1 else np.empty(0, np.uint64)
-        self.pairs = pairs
-        # a word pair counts the more, the fewer of the items' windows have it
-        self.known, seen = np.unique(pairs, return_counts=True)
-        self.weights = np.log1p(len(pairs) / np.maximum(seen, 1))
+
+def fingerprints(bits: np.ndarray, window: int, step: int = 1) -> np.ndarray:
+    """The SimHash of the windows at every ``step`` words: each bit is that of most of the words."""
+    n = len(bits) - window + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    if step == 1 and window < 256:
+        # sums over 1, 2, 4, ... words, put together to the window's number of them
+        total, at, width, power = None, 0, 1, bits
+        while True:
+            if window & width:
+                part = power[at : at + n]
+                total = part.copy() if total is None else total + part
+                at += width
+            width *= 2
+            if width > window:
+                break
+            power = power[: -width // 2] + power[width // 2 :]
+    else:
+        upto = np.zeros((len(bits) + 1, 64), np.uint32)
+        np.cumsum(bits, axis=0, out=upto[1:])
+        total = upto[window::step] - upto[: n : step]
+    return np.packbits(total > window // 2, axis=1).view(np.uint64).ravel()
+
+
+class Prints:
+    """Fingerprints, found by the blocks in which another within the radius must agree."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
         edges = [64 * b // (radius + 1) for b in range(radius + 2)]
         self.blocks = []
         for low, high in zip(edges, edges[1:]):
-            key = self._block(self.prints, low, high)
+            key = self._block(prints, low, high)
             order = np.argsort(key, kind="stable")
             present = np.zeros(1 << min(high - low, 22), bool)
-            present[key % len(present)] = True
+            present[key & np.uint64(len(present) - 1)] = True
             self.blocks.append((low, high, key[order], order, present))
 
     @staticmethod
     def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
-        return ((prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+        return (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``prints``, window of an item) for all fingerprints within the radius."""
-        found = []
+        """(place in ``prints``, place here) for all fingerprints within the radius."""
+        found = [np.empty((2, 0), np.int64)]
         for low, high, keys, order, present in self.blocks:
             key = self._block(prints, low, high)
-            maybe = np.flatnonzero(present[key % len(present)])
+            maybe = np.flatnonzero(present[key & np.uint64(len(present) - 1)])
             left, right = np.searchsorted(keys, key[maybe], "left"), np.searchsorted(keys, key[maybe], "right")
             count = right - left
             place = np.repeat(maybe, count)
-            window = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)]
-            close = np.bitwise_count(prints[place] ^ self.prints[window]) <= self.radius
-            found.append(np.stack([place[close], window[close]]))
+            mine = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)]
+            close = np.bitwise_count(prints[place] ^ self.prints[mine]) <= self.radius
+            found.append(np.stack([place[close], mine[close]]))
         both = np.unique(np.concatenate(found, axis=1), axis=1)
         return both[0], both[1]
 
-    def similarity(self, codes: np.ndarray, at: np.ndarray, window: np.ndarray) -> np.ndarray:
-        """The weighted share of word pairs, place by place, that two windows have in common."""
-        own = shingles(codes)
-        steps = np.arange(self.window - 1)
-        theirs = self.pairs[self.start[window][:, None] + steps]
-        same = own[at[:, None] + steps] == theirs
-        weight = self.weights[np.searchsorted(self.known, theirs)]
-        return (same * weight).sum(axis=1) / weight.sum(axis=1)
+
+def window_sizes(passage: int, longest: int) -> list[tuple[int, int]]:
+    """(window, step) of the sizes above a passage, the step being a quarter of the window."""
+    sizes, size = [], float(passage)
+    while True:
+        size *= GROWTH
+        window = round(size)
+        if window + window // 4 - 1 > longest:
+            return sizes
+        sizes.append((window, max(1, window // 4)))
+
+
+class WindowIndex:
+    """The items' windows by their fingerprints, and what is needed to verify a candidate."""
+
+    def __init__(self, texts: list[tuple[int, str]], passage: int = PASSAGE, radius: int = RADIUS):
+        self.passage = passage
+        coder = Coder()
+        own = [np.array(coder(text), np.uint64) for _, text in texts]
+        self.items = np.array([i for i, _ in texts], np.int64)
+        self.base = np.concatenate([[0], np.cumsum([len(c) for c in own])]).astype(np.int64)
+        self.codes = np.concatenate([*own, np.empty(0, np.uint64)])
+        shingled = [np.unique(shingles(c)) for c in own]
+        self.known, held = np.unique(np.concatenate([*shingled, np.empty(0, np.uint64)]), return_counts=True)
+        # a shingle counts the more, the fewer items have it
+        self.weights = np.log1p(len(texts) / np.maximum(held, 1))
+        self.most = np.log1p(len(texts))
+        sizes = window_sizes(passage, max((len(c) for c in own), default=0))
+        sized: dict[tuple[int, int], list[int]] = {(passage, 1): [i for i, c in enumerate(own) if len(c) >= passage]}
+        for i, c in enumerate(own):
+            fit = [s for s in sizes if s[0] + s[1] - 1 <= len(c)]
+            if fit:
+                sized.setdefault(fit[-1], []).append(i)
+        #: window, step, fingerprints, and the item and offset of each
+        self.levels: list[tuple[int, int, Prints, np.ndarray, np.ndarray]] = []
+        for (window, step), members in sorted(sized.items()):
+            prints = [fingerprints(word_bits(own[i]), window) for i in members]
+            owner = np.repeat(np.array(members, np.int64), [len(p) for p in prints])
+            offset = np.concatenate([*(np.arange(len(p)) for p in prints), np.empty(0, np.int64)])
+            merged = np.concatenate([*prints, np.empty(0, np.uint64)])
+            self.levels.append((window, step, Prints(merged, 0 if window == passage else radius), owner, offset))
+        self.widest = max(window for window, *_ in self.levels)
+
+    def length(self, item: np.ndarray) -> np.ndarray:
+        return self.base[item + 1] - self.base[item]
+
+    def similarity(self, item: int, place: np.ndarray) -> float:
+        """The weighted share of five-word shingles that an item and a document's words have in common, of all of both."""
+        mine = np.unique(shingles(self.codes[self.base[item] : self.base[item + 1]]))
+        theirs = np.unique(shingles(place))
+        both = np.union1d(mine, theirs)
+        if not len(both):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.known, both), len(self.known) - 1)
+        weight = np.where(self.known[at] == both, self.weights[at], self.most)
+        shared = np.isin(both, mine, assume_unique=True) & np.isin(both, theirs, assume_unique=True)
+        return float(weight[shared].sum() / weight.sum())
 
 
 def _search(index: WindowIndex, least: float) -> Callable:
-    window = index.window
+    passage = index.passage
+    steps = np.arange(passage)
+
+    def verified(doc: np.ndarray, item: np.ndarray, place: np.ndarray, offset: np.ndarray, exact: np.ndarray, texts: dict) -> Iterator[tuple]:
+        """Each candidate (document, item) with its longest run of equal words and its similarity."""
+        shift = place - offset
+        order = np.lexsort((place, shift, item, doc))
+        doc, item, place, shift, exact = (x[order] for x in (doc, item, place, shift, exact))
+        pair = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
+        for s, e in zip(pair.tolist(), [*pair[1:].tolist(), len(doc)]):
+            i, mine, codes = int(doc[s]), int(item[s]), texts[int(doc[s])]
+            at, own = place[s:e][exact[s:e]], shift[s:e][exact[s:e]]
+            run = first = 0
+            if len(at):
+                breaks = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] - at[:-1] > 1)]))
+                ends = np.concatenate([breaks[1:], [len(at)]]) - 1
+                run = int((at[ends] - at[breaks]).max()) + passage
+                first = int(at.min())
+            shifts, seen = np.unique(shift[s:e], return_counts=True)
+            begin = int(shifts[seen.argmax()])
+            region = codes[max(0, begin) : max(0, begin + int(index.length(mine)))]
+            alike = index.similarity(mine, np.array(region, np.uint64))
+            if run or alike >= least:
+                yield i, mine, first if run else max(0, begin), run, alike
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: dict[tuple[int, int], list[int]] = {}
             codes: list[int] = []
             bounds: list[tuple[int, int, int]] = []
+            hits: list[tuple[np.ndarray, ...]] = []
+            kept: dict[int, list[int]] = {}
 
             def flush() -> None:
                 if not bounds:
                     return
                 flat = np.array(codes, np.uint64)
+                bits = word_bits(flat)
                 owner = np.repeat([b[0] for b in bounds], [b[2] for b in bounds])
                 offset = np.concatenate([np.arange(b[1], b[1] + b[2]) for b in bounds])
-                place, item = index.near(fingerprints(flat, window)) if len(flat) >= window else (np.empty(0, int),) * 2
-                whole = owner[place] == owner[place + window - 1]
-                place, item = place[whole], item[whole]
-                if len(place):
-                    good = index.similarity(flat, place, item) >= least
-                    for p, w in zip(place[good].tolist(), item[good].tolist()):
-                        hit = out.setdefault((ids[owner[p]], index.items[index.owner[w]]), [int(offset[p]), 0])
-                        hit[0] = min(hit[0], int(offset[p]))
-                        hit[1] += 1
+                for window, step, prints, mine, begin in index.levels:
+                    place, at = prints.near(fingerprints(bits, window, step))
+                    place = place * step
+                    # a window lies in one document, and in one piece of it
+                    whole = (owner[place] == owner[place + window - 1]) & (offset[place + window - 1] - offset[place] == window - 1) if len(place) else place == 0
+                    place, at = place[whole], at[whole]
+                    exact = np.zeros(len(place), bool)
+                    if window == passage and len(place):
+                        theirs = index.codes[(index.base[mine[at]] + begin[at])[:, None] + steps]
+                        exact = (flat[place[:, None] + steps] == theirs).all(axis=1)
+                        place, at, exact = place[exact], at[exact], exact[exact]
+                    if len(place):
+                        hits.append((owner[place], mine[at], offset[place], begin[at], exact))
+                        kept.update(dict.fromkeys(owner[place].tolist()))
                 codes.clear()
                 bounds.clear()
 
+            texts_of: dict[int, list[int]] = {}
             for i, text in enumerate(texts):
                 if not text:
                     continue
                 own = coder(text)
-                if len(own) < window:
+                if len(own) < passage:
                     continue
-                # a long text is taken in pieces that overlap by all but one word of a window
-                for start in range(0, len(own) - window + 1, CHUNK):
-                    piece = own[start : start + CHUNK + window - 1]
-                    if len(codes) + len(piece) > CHUNK + window:
+                texts_of[i] = own
+                # a long text is taken in pieces that overlap by all but one word of the widest window
+                for start in range(0, len(own), CHUNK):
+                    piece = own[start : start + CHUNK + index.widest - 1]
+                    if len(codes) + len(piece) > CHUNK + index.widest:
                         flush()
+                        texts_of = {k: v for k, v in texts_of.items() if k in kept or k == i}
                     bounds.append((i, start, len(piece)))
                     codes += piece
             flush()
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k[0] for k in out], pa.int64()),
-                        pa.array([k[1] for k in out], pa.int64()),
-                        pa.array([v[0] for v in out.values()], pa.int64()),
-                        pa.array([v[1] for v in out.values()], pa.int64()),
-                    ],
-                    ["doc_id", "item_id", "first_word", "windows"],
-                )
+            if hits:
+                columns = [np.concatenate(c) for c in zip(*hits)]
+                # windows in the overlap of two pieces are met twice
+                columns = list(np.unique(np.stack([c.astype(np.int64) for c in columns]), axis=1))
+                found = list(verified(*columns[:4], columns[4].astype(bool), texts_of))
+                if found:
+                    doc, item, first, length, alike = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[i] for i in doc], pa.int64()), pa.array(index.items[list(item)]), pa.array(first, pa.int64()),
+                            pa.array(length, pa.int64()), pa.array(alike, pa.float64()),
+                        ],
+                        [c.split()[0] for c in FOUND.split(", ")],
+                    )
 
     return run
 
@@ -230,29 +322,36 @@ def leaked_items(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    window: int = PASSAGE,
+    passage: int = PASSAGE,
     radius: int = RADIUS,
-    least: float = 1.0,
-    item_block: int = ITEM_BLOCK,
+    least: float = LEAST,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """(doc_id, item_id, first_word, windows): the documents that repeat ``window`` consecutive words of an item.
+    """(doc_id, item_id, first_word, run, similarity): the documents that hold an item wholly, partly or changed.
 
-    ``windows`` is the number of matching pairs of windows, ``first_word`` the place of the first
-    in the document. With ``least`` below 1, windows within ``radius`` whose weighted share of
-    equal word pairs is at least that count too. Null or empty texts, null ids, and items with
+    A leak is a run of at least ``passage`` equal words; all of them are found. ``run`` is the longest,
+    ``first_word`` the place of the first in the document. A copy of an item whose changes leave
+    no such run (``run`` 0) is found where a window of its size is within ``radius``, and counts from a
+    weighted similarity of ``least`` on. Null or empty texts, null ids, and items with
     fewer words than a passage match nothing; rows repeated in full count once.
-    Items, of which there are few, go to all tasks in blocks of ``item_block``.
+    Items, of which there are few, go to all tasks in blocks of about ``block_words``.
     """
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")
     ).distinct()
-    count = wanted.count()
-    blocks = max(1, -(-count // item_block))
+    # every word has a blank or another mark between it and the next, or is a character of its own
+    size = wanted.agg(F.sum(F.ceil((F.length("text") + 1) / 2))).first()[0] or 0
+    blocks = max(1, -(-size // block_words))
     corpus = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = None
     for b in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        index = WindowIndex([(r.item_id, r.text) for r in part.collect()], window, radius)
-        rows = corpus.mapInArrow(_search(index, least), "doc_id bigint, item_id bigint, first_word bigint, windows bigint")
+        index = WindowIndex([(r.item_id, r.text) for r in part.collect()], passage, radius)
+        rows = corpus.mapInArrow(_search(index, least), FOUND)
+        if blocks > 1:  # written, so that the driver holds one block's index at a time
+            rows = cut(rows)
         found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("windows").alias("windows"))
+    ran = F.when(F.col("run") > 0, F.col("first_word"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.coalesce(F.min(ran), F.min("first_word")).alias("first_word"), F.max("run").alias("run"), F.max("similarity").alias("similarity")
+    )

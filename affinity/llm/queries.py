@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.llm.language import held_languages, label_code, labelled_sample, languages, train
-from affinity.llm.leakage import leaked_items
-from affinity.llm.lookalikes import consistent_text, look_alike_pairs
+from affinity.llm.leakage import PASSAGE, leaked_items
+from affinity.llm.lookalikes import SHAPES, consistent_text, look_alike_pairs
 from affinity.llm.markup import clean_text
 from affinity.llm.mixture import Mixture
 from affinity.llm.set_join import folded, similar_pairs
@@ -94,13 +94,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents that repeat passages of test items, with the place and extent of the match."""
-    return leaked_items(_documents(spark, folder), table(spark, folder, "eval_items"))
+    """The documents that hold test items wholly, partly or changed, with the place, the longest run and the similarity."""
+    leaks = leaked_items(_documents(spark, folder), table(spark, folder, "eval_items"))
+    return leaks.withColumn("similarity", F.round("similarity", 6))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that repeat passages of test items."""
-    return p7_report(spark, folder).select("doc_id", "item_id")
+    return p7_report(spark, folder).where(F.col("run") >= PASSAGE).select("doc_id", "item_id")
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,7 +198,27 @@ _P6 = r"""
     )
 """
 
+# Letters of one shape that the documents use, as in lookalikes.SHAPES, for DuckDB's translate().
+_SHAPED = [group for group in SHAPES if len(group) > 1]
+_FROM, _TO = "".join(group[1:] for group in _SHAPED), "".join(group[0] * (len(group) - 1) for group in _SHAPED)
+_WORDS_SQL = r"""
+    {name}_words AS (
+        SELECT id, regexp_extract_all(lower(nfc_normalize(translate(
+            regexp_replace(regexp_replace(regexp_replace(text, '</?(br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr)\b[^<>]*>', ' ', 'gi'),
+                '</?[A-Za-z][^<>]*>', '', 'g'), '[\x{{ad}}\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]', '', 'g'),
+            '{a}', '{b}'))), '[\p{{L}}\p{{N}}]+') AS w
+        FROM (SELECT {id} AS id, text FROM {table})
+    ),
+    {name}_runs AS (
+        SELECT DISTINCT id, array_to_string(w[i : i + 12], ' ') AS run
+        FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM {name}_words)
+    )
+"""
+
 SQL = {
+    "p7_found": "WITH " + ", ".join(
+        _WORDS_SQL.format(name=n, id=i, table=t, a=_FROM, b=_TO) for n, i, t in (("d", "doc_id", "documents"), ("e", "item_id", "eval_items"))
+    ) + " SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM d_runs d JOIN e_runs e USING (run)",
     "p1_found": "WITH " + ", ".join(_SIZED_SQL.format(**x) for x in _P1) + " UNION ALL ".join(_PAIRS_SQL.format(**x) for x in _P1),
     "p4_found": """
         WITH settings AS (SELECT vault, max(max_suggestions) AS n FROM vault_settings GROUP BY vault),
