@@ -1,6 +1,6 @@
 import unicodedata
 
-from affinity.llm.lookalikes import UnionFind, consistent_text, look_alike_pairs, rewriter, rewriting
+from affinity.llm.lookalikes import UnionFind, both_letters, consistent_text, look_alike_pairs, rewriter, rewriting, rewriting_tables, string_rewriting
 
 SCHEMA = "note_id bigint, text string, id string, key string"
 
@@ -68,3 +68,23 @@ def test_a_large_group_gives_all_pairs_of_different_texts(spark):
     found = pairs(spark, rows)
     assert len(found) == len(wanted) == 480_000 and set(found) == wanted
     assert set(pairs(spark, rows[:60], block=7)) == {(a, b) for a, b in wanted if b < 60}
+
+
+def test_letters_that_are_two_meet_the_string_of_both(spark):
+    assert ("ꝏ", "oo") in both_letters() and "æ" not in dict(both_letters())
+    assert pairs(spark, [(1, "book"), (2, "bꝏk"), (3, "bооk"), (4, "bok")]) == [(1, 2), (1, 3), (2, 3)]
+    # where the letter is more frequent, the string of two characters is what the automaton rewrites
+    rows = [(i, "ꝏ " * 9) for i in range(5)] + [(9, "book"), (10, "ооk")]
+    step = rewriting_tables(frame(spark, rows), "text")[1]
+    assert step == {"oo": "ꝏ"} and rewriter(step)("book") == "bꝏk"
+    assert (9, 11) in pairs(spark, [*rows, (11, "bꝏk")])
+
+
+def test_near_shapes_only_where_asked_for(spark):
+    rows = [(1, "the market"), (2, "the rnarket"), (3, "the mαrкet"), (4, "the mаrket"), (5, "ın vvar"), (6, "in war"), (7, "the narket")]
+    assert pairs(spark, rows) == [(1, 4)]
+    assert pairs(spark, rows, near=True) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 6)]
+
+
+def test_classes_of_strings_are_transitive():
+    assert string_rewriting([("m", "rn"), ("rn", "гn")], {}, {"m": 5, "rn": 2}) == {"rn": "m", "гn": "m"}
