@@ -10,21 +10,26 @@ from affinity.session import cut
 EXPAND_LIMIT = 1000
 
 
-def class_members(members: DataFrame, limit: int = EXPAND_LIMIT) -> DataFrame:
-    """``members`` (key, side, id), with the size ``c`` of each class and its ``rep``.
+def class_members(members: DataFrame) -> DataFrame:
+    """``members`` (key, side, id), with the size ``c`` of each class and its smallest id of either side, ``rep_0`` and ``rep_1``.
 
     Rows repeated in full count once. Written once, since several joins read it.
     """
     members = members.distinct()
     classes = members.groupBy("key").agg(
-        F.count("*").alias("c"), F.min(F.struct("side", "id")).alias("rep")
+        F.count("*").alias("c"), *[F.min(F.when(F.col("side") == s, F.col("id"))).alias(f"rep_{s}") for s in (0, 1)]
     )
     return cut(members.join(classes, "key"))
 
 
+def own_rep() -> Column:
+    """The representative of a member's class on its own side."""
+    return F.when(F.col("side") == 0, F.col("rep_0")).otherwise(F.col("rep_1"))
+
+
 def listed(members: DataFrame, limit: int) -> DataFrame:
-    """The members of a class that stand in pairs: all of them up to ``limit``, else the representative."""
-    return members.where((F.col("c") <= limit) | (F.struct("side", "id") == F.col("rep")))
+    """The members of a class that stand in pairs with other classes: all of them up to ``limit``, else a representative of either side."""
+    return members.where((F.col("c") <= limit) | (F.col("id") == own_rep()))
 
 
 def _ordered(a: str, b: str, between: bool) -> list[Column]:
@@ -68,8 +73,8 @@ def copy_pairs(members: DataFrame, limit: int, between: bool = False) -> DataFra
     """Pairs of equal records.
 
     A class of up to ``limit`` members gives all its pairs. A larger one gives the pair of
-    each member and the representative, from which the rest follows, so that no class
-    makes more rows than ``limit`` times its members.
+    each member and the representative, between two tables that of the other side, from which the rest
+    follows, so that no class makes more rows than ``limit`` times its members.
     """
     shown = members.where((F.col("c") > 1) & (F.col("c") <= limit))
     small = (
@@ -78,12 +83,11 @@ def copy_pairs(members: DataFrame, limit: int, between: bool = False) -> DataFra
         .where(_wanted("a", "b", between))
         .where(F.struct("side_a", "id_a") < F.struct("side_b", "id_b"))
     )
+    other = F.when(F.col("side") == 0, F.col("rep_1")).otherwise(F.col("rep_0")) if between else F.col("rep_0")
     large = members.where(F.col("c") > limit).select(
-        F.col("side").alias("side_a"),
-        F.col("id").alias("id_a"),
-        F.col("rep.side").alias("side_b"),
-        F.col("rep.id").alias("id_b"),
-    )
+        F.col("side").alias("side_a"), F.col("id").alias("id_a"),
+        (F.lit(1) - F.col("side") if between else F.col("side")).alias("side_b"), other.alias("id_b"),
+    ).where(F.col("id_b").isNotNull())
     return (
         small.select(*_ordered("a", "b", between))
         .unionByName(large.where(_wanted("a", "b", between)).select(*_ordered("a", "b", between)))

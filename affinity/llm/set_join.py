@@ -11,6 +11,7 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from itertools import islice
 from math import ceil, log2
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.pairs import EXPAND_LIMIT, class_members, copy_pairs, cross_pairs
+from affinity.llm.pairs import EXPAND_LIMIT, class_members, copy_pairs, cross_pairs, own_rep
 from affinity.session import cut, partitions
 
 BLANKS = " \t\n\r\x0b\x0c 　"
@@ -27,6 +28,11 @@ BUCKET_ROWS = 20_000
 #: A value is frequent if it holds this share of all values. There are at most 1 / share of them.
 FREQUENT_SHARE = 1 / 2000
 FREQUENT_LEAST = 1000
+#: Values that one task orders, and sets that one task merges, about.
+PARTITION_VALUES = 5_000_000
+PARTITION_SETS = 400_000
+#: Pairs of an Arrow batch.
+BATCH_PAIRS = 100_000
 #: Weight of the list length in the number of lists that are left to binary search.
 MU = 0.05
 
@@ -115,8 +121,13 @@ def _shared_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     )
 
 
-def _ordered_sets(ratio: Fraction, frequent: np.ndarray) -> Callable:
-    """Makes each set's array of shareable tokens, rarest first, and the length of its prefix."""
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+
+
+def _ordered_sets(ratio: Fraction, frequent: np.ndarray, heavy: int) -> Callable:
+    """Makes each set's array of shareable tokens, rarest first, the length of its prefix, and the tokens of
+    its prefix that more than ``heavy`` sets have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(batches)
@@ -143,17 +154,17 @@ def _ordered_sets(ratio: Fraction, frequent: np.ndarray) -> Callable:
         body = np.ones(len(key), bool)
         body[starts] = False
         body &= np.repeat(keep, ends - starts)
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(held[keep])]).astype(np.int32)), pa.array(token[body])
-        )
+        place = np.arange(len(key)) - np.repeat(starts, ends - starts)  # 0 is the head row
+        crowded = body & (place <= np.repeat(prefix, ends - starts)) & (rank > heavy)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(key[starts][keep]),
                 pa.array(sizes[keep].astype(np.int32)),
                 pa.array(prefix[keep].astype(np.int32)),
-                lists,
+                _lists(token[body], held[keep]),
+                _lists(token[crowded], np.add.reduceat(crowded, starts, dtype=np.int64)[keep]),
             ],
-            ["key", "n", "prefix", "tokens"],
+            ["key", "n", "prefix", "tokens", "heavy"],
         )
 
     return run
@@ -272,18 +283,16 @@ def _merge(ratio: Fraction, buckets: Buckets) -> Callable:
             rows = np.flatnonzero(enough).tolist()
             bounds = bounds.tolist()
             keys, sizes = key[s:e].tolist(), n[s:e].tolist()
-            pairs = list(
-                _merge_bucket(
-                    int(bucket[s]),
-                    [keys[i] for i in rows],
-                    [sizes[i] for i in rows],
-                    [rest[bounds[i] : bounds[i + 1]] for i in rows],
-                    ratio,
-                    buckets,
-                )
+            pairs = _merge_bucket(
+                int(bucket[s]),
+                [keys[i] for i in rows],
+                [sizes[i] for i in rows],
+                [rest[bounds[i] : bounds[i + 1]] for i in rows],
+                ratio,
+                buckets,
             )
-            if pairs:
-                a, b = zip(*pairs)
+            while part := list(islice(pairs, BATCH_PAIRS)):
+                a, b = zip(*part)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key_a", "key_b"])
 
     return run
@@ -309,17 +318,17 @@ def value_sets(df: DataFrame, id_col: str, values_col: str, side: int, normalize
     )
 
 
-def frequent_tokens(sets: DataFrame, share: float = FREQUENT_SHARE, least: int = FREQUENT_LEAST) -> list[int]:
-    """The tokens that hold at least ``share`` of all, rarest first; at most 1 / ``share`` of them."""
+def frequent_tokens(sets: DataFrame, share: float = FREQUENT_SHARE, least: int = FREQUENT_LEAST) -> tuple[list[int], int]:
+    """The tokens that hold at least ``share`` of all, rarest first, at most 1 / ``share`` of them; and the number of all."""
     tracked = min(1_000_000, max(10_000, 50 * partitions(sets.sparkSession)))
     counted = sets.select(F.explode("tokens").alias("token")).agg(
         F.count("*").alias("total"), F.expr(f"approx_top_k(token, {ceil(1 / share / 2)}, {tracked})").alias("top")
     )
     row = counted.first()
     if not row["total"]:
-        return []
+        return [], 0
     bound = max(least, row["total"] * share)
-    return [x["item"] for x in reversed(row["top"]) if x["count"] >= bound]
+    return [x["item"] for x in reversed(row["top"]) if x["count"] >= bound], row["total"]
 
 
 def set_links(sets: DataFrame, threshold: float, *, bucket_rows: int = BUCKET_ROWS, frequent_least: int = FREQUENT_LEAST) -> DataFrame:
@@ -328,7 +337,8 @@ def set_links(sets: DataFrame, threshold: float, *, bucket_rows: int = BUCKET_RO
     ratio = Fraction(str(threshold))
     if not 0 < ratio <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    frequent = frequent_tokens(sets, least=frequent_least)
+    frequent, values = frequent_tokens(sets, least=frequent_least)
+    count = max(partitions(spark), -(-values // PARTITION_VALUES))
     places = {t: i for i, t in enumerate(frequent)}
     hot = F.lit(False) if not frequent else F.col("token").isin(frequent)
 
@@ -345,7 +355,7 @@ def set_links(sets: DataFrame, threshold: float, *, bucket_rows: int = BUCKET_RO
     shared = (
         sets.select(F.explode("tokens").alias("token"), "key")
         .where(~hot)
-        .repartition(partitions(spark), "token")
+        .repartition(count, "token")
         .mapInArrow(_shared_values, "key bigint, token bigint, df int")
     )
     # empty, not null: null lists are slow to hand to Python
@@ -353,26 +363,54 @@ def set_links(sets: DataFrame, threshold: float, *, bucket_rows: int = BUCKET_RO
         heads.select("key", F.col("n").cast("bigint").alias("token"), F.lit(0).alias("df"), "hot")
     )
     ordered = cut(
-        both.repartition(partitions(spark), "key").mapInArrow(
-            _ordered_sets(ratio, np.array(frequent, np.int64)), "key bigint, n int, prefix int, tokens array<bigint>"
+        both.repartition(count, "key").mapInArrow(
+            _ordered_sets(ratio, np.array(frequent, np.int64), bucket_rows),
+            "key bigint, n int, prefix int, tokens array<bigint>, heavy array<bigint>",
         )
     )
-    prefixes = ordered.select(F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("token"))
-    rows, *_ = ordered.agg(F.sum("prefix")).first()
-    blocks = {}
-    if frequent and rows:
-        for token, count in prefixes.where(F.col("token").isin(frequent)).groupBy("token").count().collect():
-            if count > bucket_rows:
-                blocks[token] = ceil(count / bucket_rows)
-    buckets = Buckets(max(1, ceil((rows or 0) / bucket_rows)), blocks)
+    # the tokens whose sets are too many for a bucket; each has more than bucket_rows of all prefixes
+    rows = ordered.agg(F.sum("prefix")).first()[0] or 0
+    crowds = ordered.select(F.explode("heavy").alias("token")).groupBy("token").count().where(F.col("count") > bucket_rows).collect()
+    blocks = {r["token"]: ceil(r["count"] / bucket_rows) for r in crowds}
+    buckets = Buckets(max(1, ceil(rows / bucket_rows)), blocks)
     total = buckets.count + sum(g * g for g in blocks.values())
+    routed = rows + sum(r["count"] * (blocks[r["token"]] - 1) for r in crowds)
+    tasks = max(min(total, partitions(spark, 4)), -(-routed // PARTITION_SETS))
     return (
         ordered.mapInArrow(_route(buckets), "bucket bigint, key bigint, n int, tokens array<bigint>")
-        .repartition(max(total if total < partitions(spark, 4) else partitions(spark, 4), 1), "bucket")
+        .repartition(tasks, "bucket")
         .mapInArrow(_merge(ratio, buckets), "key_a bigint, key_b bigint")
     )
 
 
+def _both_sets(
+    left: DataFrame, id_col: str, values_col: str, right: DataFrame | None, min_values: int, normalize: Callable[[Column], Column] | None
+) -> DataFrame:
+    sets = value_sets(left.where(F.col(id_col).isNotNull()), id_col, values_col, 0, normalize)
+    if right is not None:
+        sets = sets.unionByName(value_sets(right.where(F.col(id_col).isNotNull()), id_col, values_col, 1, normalize))
+    return sets.where(F.size("tokens") >= max(1, min_values))
+
+
+def large_classes(
+    left: DataFrame,
+    id_col: str,
+    values_col: str,
+    *,
+    right: DataFrame | None = None,
+    min_values: int = 1,
+    normalize: Callable[[Column], Column] | None = None,
+    expand_limit: int = EXPAND_LIMIT,
+) -> DataFrame:
+    """(side, id, rep): the records of classes of more than ``expand_limit`` equal sets, each with its class's representative on its side.
+
+    ``similar_pairs``, called alike, links such a class to others by its representatives; a record has the links of
+    its own. ``side`` is 0 for ``left`` and 1 for ``right``.
+    """
+    members = class_members(_both_sets(left, id_col, values_col, right, min_values, normalize).select("key", "side", "id"))
+    return members.where(F.col("c") > expand_limit).select("side", "id", own_rep().alias("rep"))
+
+
 def similar_pairs(
     left: DataFrame,
     id_col: str,
@@ -393,14 +431,10 @@ def similar_pairs(
     a pair. Null records, null elements, repeated elements and repeated rows count for
     nothing; an id with several sets stands for each of them; null ids form no pair; other
     columns are not read. Equal sets pair in full up to ``expand_limit`` records; a larger
-    class is given by the pairs of its representative (its smallest id), see ``copy_pairs``.
-    Values other than whole numbers, and sets, are compared by 64-bit hash.
+    class is given by the pairs of its representative, its smallest id on either side, see ``copy_pairs``;
+    ``large_classes`` has its records. Values other than whole numbers, and sets, are compared by 64-bit hash.
     """
-    sets = value_sets(left.where(F.col(id_col).isNotNull()), id_col, values_col, 0, normalize)
-    if right is not None:
-        sets = sets.unionByName(value_sets(right.where(F.col(id_col).isNotNull()), id_col, values_col, 1, normalize))
-    sets = sets.where(F.size("tokens") >= max(1, min_values))
-    between = right is not None
+    sets, between = _both_sets(left, id_col, values_col, right, min_values, normalize), right is not None
     links = set_links(sets, threshold, bucket_rows=bucket_rows, frequent_least=frequent_least)
     members = class_members(sets.select("key", "side", "id"))
     return (

@@ -2,7 +2,7 @@ import random
 from fractions import Fraction
 from itertools import combinations
 
-from affinity.llm.set_join import divide_skip, folded, similar_pairs
+from affinity.llm.set_join import divide_skip, folded, large_classes, similar_pairs
 
 SCHEMA = "id bigint, vals array<string>, key string, tokens string, side int"
 
@@ -97,6 +97,55 @@ def test_between_two_tables(spark):
     assert {tuple(r) for r in out.collect()} == {(1, 1), (2, 1), (1, 9), (2, 9)}
 
 
+def covered(spark, left, right, threshold, limit):
+    """All pairs that follow from the pairs given and the classes above the limit."""
+    kw = {"right": None if right is None else frame(spark, right), "normalize": folded, "expand_limit": limit}
+    given = {tuple(r) for r in similar_pairs(frame(spark, left), "id", "vals", threshold, **kw).collect()}
+    reps = {(r.side, r.id): r.rep for r in large_classes(frame(spark, left), "id", "vals", **kw).collect()}
+    sets = {(s, i): frozenset(clean(v)) for s, rows in enumerate((left, right or [])) for i, v in rows}
+    out = set()
+    for a, b in combinations(sorted(sets), 2):
+        if right is not None and a[0] == b[0] or not sets[a]:
+            continue
+        if sets[a] == sets[b] and a in reps:  # both have the class's representatives
+            ra, rb = (reps[a], reps[b]) if right is not None else (reps[a],) * 2
+            if ra != a[1] or rb != b[1] or right is not None:
+                assert right is not None and {(a[1], rb), (ra, b[1])} <= given or right is None and {tuple(sorted((x[1], ra))) for x in (a, b) if x[1] != ra} <= given
+            out.add((a[1], b[1]))
+        elif tuple(sorted(p) if right is None else p) in given if (p := (reps.get(a, a[1]), reps.get(b, b[1]))) else False:
+            out.add((a[1], b[1]))
+    return out
+
+
+def test_no_link_is_lost_to_large_classes(spark):
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(40)}" for _ in range(8)] for _ in range(6)]
+    for seed in range(2):
+        rng = random.Random(seed)
+        sides = []
+        for side in (0, 1):
+            rows = []
+            for i in range(60):
+                own = list(rng.choice(bases))
+                if rng.random() < 0.3:
+                    own[rng.randrange(8)] = f"x{rng.randrange(5)}"
+                rows.append((100 * side + i, own))
+            sides.append(rows)
+        sides[0] += [(70 + i, ["l", "m", "n", "o"]) for i in range(5)]  # a class on one side only
+        sides[1] += [(170 + i, ["l", "m", "n", "o", "p"]) for i in range(5)]
+        want = {(i, j) for i, a in sides[0] for j, b in sides[1] if len(clean(a) & clean(b)) >= 0.6 * len(clean(a) | clean(b))}
+        assert covered(spark, *sides, 0.6, 3) == want
+        assert covered(spark, sides[0], None, 0.6, 3) == brute(sides[0], 0.6)
+
+
+def test_values_below_the_frequent_share_are_split_too(spark):
+    rows = families(9, 300, common=8)
+    assert run(spark, rows, 0.5, bucket_rows=7, frequent_least=10**9) == brute(rows, 0.5)
+    rng = random.Random(10)
+    half = [(i, [f"v{i}", f"w{i}", "half", f"r{rng.randrange(30)}"][: 3 + i % 2] if i % 2 else [f"a{i}", f"b{rng.randrange(9)}", "z"]) for i in range(200)]
+    assert run(spark, half, 0.3, bucket_rows=10, frequent_least=10**9) == brute(half, 0.3)
+
+
 def test_whole_numbers_are_their_own_tokens(spark):
     rows = [(1, [0, 4294967295, 5]), (2, [0, 4294967295, 5, 5]), (3, [0, 4294967295, 6]), (4, None)]
     df = spark.createDataFrame(rows, "id bigint, vals array<bigint>")
