@@ -35,16 +35,22 @@ class Files:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """Write beside and rename, so that a reader never meets half a file."""
-        part = self._path(self.at(f"{name}.part"))
+        """Write beside and rename over what was there, so that a reader meets the old file or the new one.
+
+        On file systems that rename over a file in one step, as HDFS does, there is no moment without either.
+        """
+        part, target = self._path(self.at(f"{name}.part")), self._path(self.at(name))
         stream = self._fs.create(part, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self._fs.delete(self._path(self.at(name)), False)
-        if not self._fs.rename(part, self._path(self.at(name))):
-            raise OSError(f"can't write {self.at(name)}")
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(part), self._fs.makeQualified(target), options)
 
     def delete(self, name: str = "") -> bool:
         return self._fs.delete(self._path(self.at(name)), True)

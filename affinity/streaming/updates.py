@@ -7,6 +7,8 @@ over its own segment, so each change counts once.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -47,25 +49,43 @@ class LiveIndex:
         rows = new.unionByName(gone, allowMissingColumns=True)
         rows.select([c.split()[0] for c in SEGMENT.split(", ")]).write.mode("overwrite").parquet(self.files.at(f"segment={batch}"))
 
+    def _state(self) -> tuple[str | None, list[int]]:
+        """The folder of the last compaction, and the segments after it."""
+        numbers = sorted(int(n.partition("=")[2]) for n in self.files.names() if n.startswith("segment="))
+        if not self.files.exists("compacted.json"):
+            return None, numbers
+        state = json.loads(self.files.read("compacted.json"))
+        return state["folder"], [n for n in numbers if n > state["upto"]]
+
     def current(self) -> DataFrame:
         """The filters of all documents that are not deleted."""
-        if not any(n.startswith("segment=") for n in self.files.names()):
+        base, numbers = self._state()
+        parts = [self.spark.read.schema(SEGMENT).parquet(self.files.at(base)).withColumn("segment", F.lit(-1))] if base else []
+        if numbers:
+            rows = self.spark.read.schema(f"{SEGMENT}, segment bigint").option("basePath", self.files.folder)
+            parts.append(rows.parquet(*[self.files.at(f"segment={n}") for n in numbers]))
+        if not parts:
             return self.spark.createDataFrame([], SEGMENT).drop("deleted")
-        rows = self.spark.read.schema(f"{SEGMENT}, segment bigint").parquet(self.files.folder)
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         last = rows.groupBy("doc_id").agg(F.max("segment").alias("segment"))
         return rows.join(last, ["doc_id", "segment"]).where(~F.col("deleted")).drop("deleted", "segment")
 
     def compact(self) -> None:
-        """Bring all segments into one, with the number of the last."""
-        numbers = sorted(int(n.partition("=")[2]) for n in self.files.names() if n.startswith("segment="))
-        if len(numbers) < 2:
+        """Bring all segments so far into one folder, which counts once it is written whole.
+
+        Until then readers take the segments; the segments of the compaction before are removed only now, so
+        that who began to read them can end.
+        """
+        base, numbers = self._state()
+        if not numbers:
             return
-        merged = self.files.at("merged")
-        self.current().withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(merged)
-        self.spark.read.parquet(merged).write.mode("overwrite").parquet(self.files.at(f"segment={numbers[-1]}"))
-        for n in numbers[:-1]:
-            self.files.delete(f"segment={n}")
-        self.files.delete("merged")
+        upto, folder = numbers[-1], f"compacted-{numbers[-1]:012d}"
+        self.current().withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(self.files.at(folder))
+        old = [n for n in self.files.names() if n.startswith("segment=") and int(n.partition("=")[2]) not in numbers]
+        old += [n for n in self.files.names() if n.startswith("compacted-") and n not in (base, folder)]
+        self.files.write("compacted.json", json.dumps({"folder": folder, "upto": upto}))
+        for n in old:
+            self.files.delete(n)
 
     def follow(self, folder: str, checkpoint: str, *, files_per_batch: int = 5, every: str | None = None) -> StreamingQuery:
         """Apply the Parquet files of changes that come into ``folder``; with ``every``, for good, else those there now."""
