@@ -8,14 +8,16 @@ from typing import Any
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """What shapes an index and a search. Sizes by corpus size apply where ``bits`` and ``char_limit`` are null."""
+    """What shapes an index and a search. Nothing here changes with the size of a corpus, unless ``by_size`` asks for it."""
 
     bits: int | None = None
+    by_size: bool = False  # filters half as large for a large corpus, where ``bits`` is null
     hashes: int = 3
     char_limit: int | None = None  # texts are cut to it, if it is given
-    whole_texts: bool = True  # false cuts texts by corpus size, as the original does
+    whole_texts: bool = True  # false cuts texts by corpus size
+    capped_pairs: bool = False  # only the first word pairs of a text enter its terms
     large_corpus: int = 5000  # documents beyond which filters and texts are half as large
-    max_text: int = 10 * 1024 * 1024  # longer texts are not indexed
+    max_text: int | None = None  # longer texts are not indexed
     min_word_length: int = 2
     adaptive_stopwords: bool = True
     stopword_mode: str = "corpus"  # of all documents, or of the "first", as the original learns them
@@ -50,7 +52,7 @@ class EngineConfig:
 
     def filter_bits(self, documents: int) -> int:
         """Bits of each filter, a multiple of 64 so that words are whole."""
-        bits = self.bits or (4096 if documents > self.large_corpus else 8192)
+        bits = self.bits or (4096 if self.by_size and documents > self.large_corpus else 8192)
         return -(-bits // 64) * 64
 
     def text_limit(self, documents: int) -> int:
@@ -62,7 +64,9 @@ class EngineConfig:
 
 
 DEFAULT = EngineConfig()
-#: The form of the original provider, which cuts texts by corpus size and learns stopwords from the first documents.
-COMPAT = EngineConfig(whole_texts=False, stopword_mode="first")
+#: The form of the original provider: sizes by corpus size, the first word pairs, stopwords of the first documents.
+COMPAT = EngineConfig(by_size=True, whole_texts=False, capped_pairs=True, max_text=10 * 1024 * 1024, stopword_mode="first")
 #: The older single-size provider: 256 bits, words of one tokenization and up to 300 word pairs.
-LEGACY = EngineConfig(bits=256, stopword_mode="first", stopword_documents=100, similarity_threshold=0.1, max_suggestions=10)
+LEGACY = EngineConfig(bits=256, similarity_threshold=0.1, max_suggestions=10)
+#: The same with stopwords of the first 100 documents.
+LEGACY_COMPAT = EngineConfig(bits=256, similarity_threshold=0.1, max_suggestions=10, max_text=10 * 1024 * 1024, stopword_mode="first", stopword_documents=100)

@@ -164,6 +164,11 @@ def term_array(words: Column, cjk: Column, caps: tuple[int, int, int, int] = (20
     return F.array_distinct(F.concat(words, word_pairs(words, cap)))
 
 
+def all_terms(words: Column) -> Column:
+    """The distinct words in order, followed by all distinct adjacent pairs."""
+    return F.array_distinct(F.concat(words, word_pairs(words, F.size(words))))
+
+
 def word_pairs(words: Column, most: Column | int) -> Column:
     """The first ``most`` pairs of adjacent words."""
     most = F.lit(most) if isinstance(most, int) else most

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.config import EngineConfig
-from affinity.functions.text import CJK, meaningful, term_array, truncated, with_tokens, word_pairs
+from affinity.functions.text import CJK, all_terms, meaningful, term_array, truncated, with_tokens, word_pairs
 
 
 def bounded(corpus: DataFrame, config: EngineConfig, limit: int | None) -> DataFrame:
-    """The corpus without texts that are too large, the rest cut to ``limit`` characters if it is given; a null text is empty."""
-    rows = corpus.withColumn("text", F.coalesce("text", F.lit(""))).where(F.length("text") <= config.max_text)
+    """The corpus, without texts that are too large and cut to ``limit`` characters if these are given; a null text is empty."""
+    rows = corpus.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows if config.max_text is None else rows.where(F.length("text") <= config.max_text)
     return rows if limit is None else rows.withColumn("text", truncated(F.col("text"), limit))
 
 
@@ -33,10 +34,11 @@ def preprocessed(tokens: DataFrame, config: EngineConfig, common: list[str] | No
     return tokens.select("doc_id", F.array_join(plain, " ").alias("text"))
 
 
-def document_terms(texts: DataFrame) -> DataFrame:
-    """(doc_id, terms) of preprocessed ``texts``, which are tokenized once more."""
+def document_terms(texts: DataFrame, capped: bool = False) -> DataFrame:
+    """(doc_id, terms) of preprocessed ``texts``, which are tokenized once more: the words and all adjacent pairs, or the first ones."""
     words = with_tokens(texts, "text", "words", compose=False)
-    return words.select("doc_id", term_array(F.col("words"), F.col("text").rlike(CJK)).alias("terms"))
+    terms = term_array(F.col("words"), F.col("text").rlike(CJK)) if capped else all_terms(F.col("words"))
+    return words.select("doc_id", terms.alias("terms"))
 
 
 def legacy_terms(tokens: DataFrame, config: EngineConfig, common: list[str] | None = None, since: int | None = None) -> DataFrame:

@@ -54,10 +54,7 @@ class RelatedEngine:
 
     @cached_property
     def texts(self) -> DataFrame:
-        if self.legacy:
-            rows = self.corpus.withColumn("text", F.coalesce("text", F.lit("")))
-            return rows.where(F.length("text") <= self.config.max_text)
-        return bounded(self.corpus, self.config, self.config.text_bound(self.documents))
+        return bounded(self.corpus, self.config, None if self.legacy else self.config.text_bound(self.documents))
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -74,7 +71,7 @@ class RelatedEngine:
 
     @cached_property
     def terms(self) -> DataFrame:
-        return legacy_terms(self.tokens, self.config, *self.common) if self.legacy else document_terms(self.filtered)
+        return legacy_terms(self.tokens, self.config, *self.common) if self.legacy else document_terms(self.filtered, self.config.capped_pairs)
 
     @cached_property
     def filters(self) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import SparkSession
 
-from affinity.config import COMPAT, LEGACY, EngineConfig
+from affinity.config import DEFAULT, LEGACY, EngineConfig
 from affinity.functions.text import BLANKS, EXTENSIONS, STOPWORDS
 from affinity.plans.related import RelatedEngine
 from affinity.sources.corpus import document_corpus
@@ -17,13 +17,13 @@ QUERY = 51
 NOW = datetime(2024, 11, 1)
 
 
-def engine(spark: SparkSession, folder: str, config: EngineConfig = COMPAT) -> RelatedEngine:
-    """The engine of the queries, by default in the form that their SQL fixes; the ``_whole`` queries take the engine's own default."""
+def engine(spark: SparkSession, folder: str, config: EngineConfig = DEFAULT) -> RelatedEngine:
+    """The engine of the queries; the ``_compat`` queries take the form with limits, see ``COMPAT_PARTS``."""
     return RelatedEngine(document_corpus(spark, folder), config, now=NOW)
 
 
-def legacy_engine(spark: SparkSession, folder: str) -> RelatedEngine:
-    return RelatedEngine(document_corpus(spark, folder), LEGACY, legacy=True, now=NOW)
+def legacy_engine(spark: SparkSession, folder: str, config: EngineConfig = LEGACY) -> RelatedEngine:
+    return RelatedEngine(document_corpus(spark, folder), config, legacy=True, now=NOW)
 
 
 SPACE = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -131,23 +131,39 @@ def filter_parts(prefix: str, terms: str, m: str) -> dict[str, str]:
     }
 
 
-def stopword_parts(prefix: str, tokens: str, count: int) -> dict[str, str]:
+def _ranked_sql(documents: str, where: str) -> str:
+    return f"""SELECT word, df, coverage, rank FROM (
+        SELECT word, df, df / {documents} AS coverage, row_number() OVER (ORDER BY df DESC, first_doc, first_pos) AS rank FROM (
+            SELECT word, count(*) AS df, min(doc_id) AS first_doc, arg_min(pos, doc_id) AS first_pos FROM (
+                SELECT word, doc_id, min(pos) AS pos FROM (
+                    SELECT doc_id, lower(unnest(tokens)) AS word, unnest(range(len(tokens))) AS pos FROM {where}
+                ) WHERE length(word) > 2 GROUP BY word, doc_id
+            ) GROUP BY word HAVING count(*) >= 5
+        )) WHERE coverage >= 0.5 OR rank <= 200"""
+
+
+def _kept_sql(prefix: str, tokens: str) -> str:
+    return f"""SELECT doc_id, list_filter(list_transform(tokens, lambda w: lower(w)),
+            lambda w: (length(w) > 2 OR regexp_matches(w, '{CJK}')) AND NOT (coalesce(doc_id >= since, false) AND list_contains(common, w))) AS kept
+        FROM {tokens}, {prefix}since"""
+
+
+def stopword_parts(prefix: str, tokens: str) -> dict[str, str]:
+    """Stopwords of all documents."""
+    return {
+        f"{prefix}stop": _ranked_sql("(SELECT count(*) FROM docs)", tokens),
+        f"{prefix}since": f"SELECT min(doc_id) AS since, coalesce((SELECT list(word) FROM {prefix}stop), []) AS common FROM docs",
+        f"{prefix}kept": _kept_sql(prefix, tokens),
+    }
+
+
+def first_stopword_parts(prefix: str, tokens: str, count: int) -> dict[str, str]:
+    """Stopwords of the first ``count`` documents, the last of which is the first that is filtered."""
     return {
         f"{prefix}firsts": f"SELECT doc_id FROM docs ORDER BY doc_id LIMIT {count}",
-        f"{prefix}stop": f"""SELECT word, df, coverage, rank FROM (
-            SELECT word, df, df / {count} AS coverage, row_number() OVER (ORDER BY df DESC, first_doc, first_pos) AS rank FROM (
-                SELECT word, count(*) AS df, min(doc_id) AS first_doc, arg_min(pos, doc_id) AS first_pos FROM (
-                    SELECT word, doc_id, min(pos) AS pos FROM (
-                        SELECT doc_id, lower(unnest(tokens)) AS word, unnest(range(len(tokens))) AS pos FROM {tokens}
-                        WHERE doc_id IN (SELECT doc_id FROM {prefix}firsts)
-                    ) WHERE length(word) > 2 GROUP BY word, doc_id
-                ) GROUP BY word HAVING count(*) >= 5
-            )) WHERE coverage >= 0.5 OR rank <= 200""",
+        f"{prefix}stop": _ranked_sql(str(count), f"{tokens} WHERE doc_id IN (SELECT doc_id FROM {prefix}firsts)"),
         f"{prefix}since": f"""SELECT max(doc_id) AS since, coalesce((SELECT list(word) FROM {prefix}stop), []) AS common FROM {prefix}firsts
             HAVING count(*) = {count} UNION ALL SELECT NULL, [] WHERE (SELECT count(*) FROM {prefix}firsts) < {count}""",
-        f"{prefix}kept": f"""SELECT doc_id, list_filter(list_transform(tokens, lambda w: lower(w)),
-                lambda w: (length(w) > 2 OR regexp_matches(w, '{CJK}')) AND NOT (coalesce(doc_id >= since, false) AND list_contains(common, w))) AS kept
-            FROM {tokens}, {prefix}since""",
     }
 
 
@@ -157,20 +173,15 @@ _PAIRS = "list_transform(range(1, least({cap}, len({w}) - 1) + 1), lambda i: {w}
 PARTS: dict[str, str] = {
     "docs": r"""SELECT doc_id, path, title, title || ' ' || coalesce(text, '') AS text, mtime FROM (
         SELECT *, regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') AS title FROM documents)""",
-    "conf": "SELECT count(*) AS n, CASE WHEN count(*) > 5000 THEN 4096 ELSE 8192 END AS m, CASE WHEN count(*) > 5000 THEN 5000 ELSE 10000 END AS lim FROM docs",
-    "texts": f"SELECT doc_id, left(text, {kept_sql('text', 'lim')}) AS text FROM docs, conf WHERE length(text) <= 10485760",
-    **token_parts("toks", "texts", "doc_id", "text"),
-    **stopword_parts("", "toks", 30),
+    "conf": "SELECT count(*) AS n, 8192 AS m FROM docs",
+    **token_parts("toks", "docs", "doc_id", "text"),
+    **stopword_parts("", "toks"),
     "filtered": "SELECT doc_id, array_to_string(kept, ' ') AS text FROM kept",
     **token_parts("words", "filtered", "doc_id", "text"),
-    "term_rows": f"""SELECT DISTINCT doc_id, unnest(list_concat(w, {_PAIRS.format(w='w', cap='cap')})) AS term FROM (
-        SELECT doc_id, tokens AS w, CASE WHEN len(list_distinct(tokens)) <= 500 THEN CASE WHEN cjk THEN 100 ELSE 200 END
-            ELSE CASE WHEN cjk THEN 50 ELSE 100 END END AS cap
-        FROM words JOIN (SELECT doc_id, regexp_matches(text, '{CJK}') AS cjk FROM filtered) USING (doc_id))""",
+    "term_rows": f"SELECT DISTINCT doc_id, unnest(list_concat(tokens, {_PAIRS.format(w='tokens', cap='len(tokens)')})) AS term FROM words",
     **filter_parts("", "term_rows", "m"),
-    "old_texts": "SELECT doc_id, text FROM docs WHERE length(text) <= 10485760",
-    **token_parts("old_toks", "old_texts", "doc_id", "text"),
-    **stopword_parts("old_", "old_toks", 100),
+    **token_parts("old_toks", "docs", "doc_id", "text"),
+    **stopword_parts("old_", "old_toks"),
     "old_rows": f"SELECT DISTINCT doc_id, unnest(list_concat(kept, {_PAIRS.format(w='kept', cap='300')})) AS term FROM (SELECT doc_id, list_filter(kept, lambda w: w <> '') AS kept FROM old_kept)",
     **filter_parts("old_", "old_rows", "256"),
     "posted": """SELECT doc_id, min(pos) AS pos, word FROM (
@@ -187,32 +198,38 @@ PARTS: dict[str, str] = {
 }
 
 
-#: The parts that differ in the SQL of the ``_whole`` queries.
-WHOLE = {
-    "texts": "SELECT doc_id, text FROM docs WHERE length(text) <= 10485760",
-    "stop": """SELECT word, df, coverage, rank FROM (
-        SELECT word, df, df / n AS coverage, row_number() OVER (ORDER BY df DESC, first_doc, first_pos) AS rank FROM (
-            SELECT word, count(*) AS df, min(doc_id) AS first_doc, arg_min(pos, doc_id) AS first_pos FROM (
-                SELECT word, doc_id, min(pos) AS pos FROM (
-                    SELECT doc_id, lower(unnest(tokens)) AS word, unnest(range(len(tokens))) AS pos FROM toks
-                ) WHERE length(word) > 2 GROUP BY word, doc_id
-            ) GROUP BY word HAVING count(*) >= 5
-        ), conf) WHERE coverage >= 0.5 OR rank <= 200""",
-    "since": "SELECT min(doc_id) AS since, coalesce((SELECT list(word) FROM stop), []) AS common FROM docs",
+#: The parts that differ where the limits of the original provider hold: texts cut and filters halved by corpus size,
+#: the first word pairs only, stopwords of the first documents.
+COMPAT_PARTS = {
+    "conf": "SELECT count(*) AS n, CASE WHEN count(*) > 5000 THEN 4096 ELSE 8192 END AS m, CASE WHEN count(*) > 5000 THEN 5000 ELSE 10000 END AS lim FROM docs",
+    "texts": f"SELECT doc_id, left(text, {kept_sql('text', 'lim')}) AS text FROM docs, conf WHERE length(text) <= 10485760",
+    **token_parts("toks", "texts", "doc_id", "text"),
+    **first_stopword_parts("", "toks", 30),
+    "term_rows": f"""SELECT DISTINCT doc_id, unnest(list_concat(w, {_PAIRS.format(w='w', cap='cap')})) AS term FROM (
+        SELECT doc_id, tokens AS w, CASE WHEN len(list_distinct(tokens)) <= 500 THEN CASE WHEN cjk THEN 100 ELSE 200 END
+            ELSE CASE WHEN cjk THEN 50 ELSE 100 END END AS cap
+        FROM words JOIN (SELECT doc_id, regexp_matches(text, '{CJK}') AS cjk FROM filtered) USING (doc_id))""",
+}
+LEGACY_COMPAT_PARTS = {
+    "old_texts": "SELECT doc_id, text FROM docs WHERE length(text) <= 10485760",
+    **token_parts("old_toks", "old_texts", "doc_id", "text"),
+    **first_stopword_parts("old_", "old_toks", 100),
 }
 
 
 def sql(select: str, **more: str) -> str:
-    """A statement of ``select`` with the parts that it needs in front."""
+    """A statement of ``select`` with the parts that it needs in front, each behind those that it uses."""
     parts = PARTS | more
-    names = list(parts)
-    needed: set[str] = set()
-    def need(text: str, before: int) -> None:
-        for i, name in enumerate(names[:before]):
-            if name not in needed and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", text):
-                needed.add(name)
-                need(parts[name], i)
-
-    need(select, len(names))
-    chain = ",\n".join(f"{n} AS MATERIALIZED ({parts[n]})" for n in names if n in needed)
+    order: dict[str, None] = {}
+    seen: set[str] = set()
+
+    def need(text: str) -> None:
+        for name in parts:
+            if name not in seen and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", text):
+                seen.add(name)
+                need(parts[name])
+                order[name] = None
+
+    need(select)
+    chain = ",\n".join(f"{n} AS MATERIALIZED ({parts[n]})" for n in order)
     return f"WITH {chain}\n{select}" if chain else select

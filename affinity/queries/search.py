@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.config import COMPAT, DEFAULT, EngineConfig
+from affinity.config import COMPAT, DEFAULT
 from affinity.functions import bloom
 from affinity.functions.hashing import hashes
 from affinity.operators import candidates as pick
@@ -16,7 +14,7 @@ from affinity.operators.bitmap import bit_words, build_filters, term_bits
 from affinity.operators.order import with_sequence
 from affinity.operators.terms import document_terms, preprocessed, tokenized
 from affinity.plans.related import RelatedEngine
-from affinity.queries.base import NOW, QUERY, WHOLE, engine, filter_parts, hash_sql, legacy_engine, score_sql, seeded_sql, sql, token_parts
+from affinity.queries.base import COMPAT_PARTS, NOW, QUERY, engine, filter_parts, hash_sql, legacy_engine, score_sql, seeded_sql, sql, token_parts
 from affinity.session import cut
 from affinity.sources.tables import table
 
@@ -74,6 +72,11 @@ def similar_to_one(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.similar_to_one(engine(spark, folder).filters, QUERY, 10)
 
 
+def similar_compat(spark: SparkSession, folder: str) -> DataFrame:
+    """The same under the limits of the original provider."""
+    return similarity.similar_to_one(engine(spark, folder, COMPAT).filters, QUERY, 10)
+
+
 def scores_to_one(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.scores_to_one(engine(spark, folder).filters, QUERY)
 
@@ -123,8 +126,8 @@ def common_terms(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id_a", "id_b", F.array_join("terms", "|").alias("terms"))
 
 
-def word_index(spark: SparkSession, folder: str, config: EngineConfig = COMPAT) -> DataFrame:
-    return engine(spark, folder, config).words.select("doc_id", "word")
+def word_index(spark: SparkSession, folder: str) -> DataFrame:
+    return engine(spark, folder).words.select("doc_id", "word")
 
 
 def word_index_sequential(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +206,7 @@ def legacy_stats(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        similar_to_one, scores_to_one, similar_many, all_pairs_topk, legacy_similar, items_overlap, pair_similarity, intersection_count, exact_jaccard,
+        similar_to_one, similar_compat, scores_to_one, similar_many, all_pairs_topk, legacy_similar, items_overlap, pair_similarity, intersection_count, exact_jaccard,
         estimate_error, common_terms, bloom_bits, bloom_words, bloom_popcount, bloom_contains, bloom_fpr, optimal_params, word_index,
         word_index_sequential, docs_with_word, docs_with_any_word, most_common_words, indexed_documents, sampled_words, fast_candidates,
         recent_candidates, bitmap_candidates, smart_candidates_word, smart_candidates_bitmap, sampled_documents, related_documents,
@@ -211,8 +214,6 @@ QUERIES = {
     )
 }
 
-QUERIES["word_index_whole"] = partial(word_index, config=DEFAULT)
-
 _MANY = f"""SELECT query_id, doc_id, similarity, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (
         SELECT p.query_id, p.doc_id, {score_sql('a.n', 'b.n', 'p.c', 'm', '3')} AS similarity
@@ -230,7 +231,7 @@ _H = hash_sql("term")
 _ITEMS = token_parts("item_toks", "eval_items", "item_id", "text") | {
     "item_kept": r"""SELECT DISTINCT -item_id AS doc_id, array_to_string(list_filter(list_transform(tokens, lambda w: lower(w)), lambda w: length(w) > 2), ' ') AS text FROM item_toks"""
 } | token_parts("item_words", "item_kept", "doc_id", "text") | {
-    "item_rows": """SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, least(200, len(w) - 1) + 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term
+    "item_rows": """SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
         FROM (SELECT doc_id, tokens AS w FROM item_words)"""
 } | filter_parts("item_", "item_rows", "m")
 _RECENT = f"""SELECT doc_id FROM (SELECT doc_id FROM docs WHERE mtime > TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}' - INTERVAL 30 DAYS ORDER BY doc_id LIMIT 20)
@@ -244,6 +245,7 @@ _TURN = """SELECT doc_id, branch FROM (SELECT doc_id, branch, place, row_number(
 
 SQL = {
     "similar_to_one": sql("SELECT doc_id, similarity FROM scores WHERE similarity > 0 ORDER BY similarity DESC, doc_id LIMIT 10"),
+    "similar_compat": sql("SELECT doc_id, similarity FROM scores WHERE similarity > 0 ORDER BY similarity DESC, doc_id LIMIT 10", **COMPAT_PARTS),
     "scores_to_one": sql("SELECT doc_id, similarity FROM scores"),
     "similar_many": sql(_MANY.format(most=5)),
     "all_pairs_topk": sql(_MANY.format(most=20)),
@@ -284,7 +286,6 @@ SQL = {
     "optimal_params": sql("""SELECT doc_id, bits, greatest(1, floor(bits::DOUBLE / n * ln(2) + 0.5))::BIGINT AS hashes FROM (
         SELECT doc_id, count(*) AS n, (ceil(ceil(count(*) * (-ln(0.01) / pow(ln(2), 2))) / 32) * 32)::BIGINT AS bits FROM term_rows GROUP BY doc_id)"""),
     "word_index": sql("SELECT doc_id, word FROM windex"),
-    "word_index_whole": sql("SELECT doc_id, word FROM windex", **WHOLE),
     "docs_with_word": sql("SELECT doc_id FROM windex WHERE word = 'glossary'"),
     "docs_with_any_word": sql(f"""SELECT doc_id FROM windex WHERE list_contains({LOOKUPS!r}, word) AND doc_id <> {QUERY} GROUP BY doc_id
         ORDER BY min(list_position({LOOKUPS!r}, word)), doc_id LIMIT 100"""),
@@ -321,5 +322,5 @@ SQL = {
         {DEFAULT.common_words_threshold}::DOUBLE AS stopword_threshold, {DEFAULT.max_stopwords}::BIGINT AS max_stopwords, (SELECT count(*) FROM pops) * m / 8::DOUBLE AS memory_bytes FROM conf"""),
     "legacy_stats": sql("""SELECT documents, total_terms, round(total_terms / documents, 6) AS avg_terms, documents * 256 / 8::DOUBLE AS memory_bytes,
         documents * 256 / 8::DOUBLE / 1024 AS memory_kb, documents * 256 / 8::DOUBLE / 1024 / 1024 AS memory_mb
-        FROM (SELECT (SELECT count(*) FROM old_texts) AS documents, (SELECT count(*) FROM old_rows) AS total_terms)"""),
+        FROM (SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM old_rows) AS total_terms)"""),
 }

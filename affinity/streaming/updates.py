@@ -39,7 +39,7 @@ class LiveIndex:
     def filters_of(self, texts: DataFrame) -> DataFrame:
         """Filters of (doc_id, text), by the same steps as a full build; the stopwords stay as they were learned."""
         tokens = tokenized(bounded(texts, self.config, self.limit))
-        return build_filters(document_terms(preprocessed(tokens, self.config, self.common)), self.bits, self.config.hashes)
+        return build_filters(document_terms(preprocessed(tokens, self.config, self.common), self.config.capped_pairs), self.bits, self.config.hashes)
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         """Write the segment of one batch of ``changes`` (doc_id, op, text, ts)."""
