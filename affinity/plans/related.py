@@ -13,18 +13,24 @@ from pyspark.sql import functions as F
 from affinity.config import DEFAULT, EngineConfig
 from affinity.operators import candidates as pick
 from affinity.operators.bitmap import build_filters
+from affinity.operators import postings
 from affinity.operators.postings import document_words, word_index
 from affinity.operators.similarity import pair_scores, similar_to_many, similar_to_one
 from affinity.operators.stats import provider_stats
 from affinity.operators.stopwords import learned_stopwords
 from affinity.operators.terms import bounded, document_terms, legacy_terms, preprocessed, tokenized
 from affinity.session import cut
+from affinity.streaming.updates import last_changes
 from affinity.sources.store import IndexStore
 
 
 class SimilarityProvider(Protocol):
     """What a provider of related documents offers."""
 
+    def initialize(self, store: IndexStore | None = None) -> bool: ...
+    def reindex(self, store: IndexStore | None = None) -> None: ...
+    def process(self, changes: DataFrame) -> None: ...
+    def stop(self) -> None: ...
     def is_indexed(self, doc_id: int) -> bool: ...
     def candidates(self, doc_id: int) -> DataFrame: ...
     def similarity(self, a: int, b: int) -> float: ...
@@ -120,12 +126,53 @@ class RelatedEngine:
         return provider_stats(self.filters, len(self.common[0]), self.config)
 
     def save(self, store: IndexStore) -> dict:
-        return store.save(self.filters, self.common[0], bits=self.bits, hashes=self.config.hashes, threshold=self.config.similarity_threshold)
+        """Save filters, stopwords and word index, so that a later engine starts without reading a text."""
+        common, since = self.common
+        return store.save(
+            self.filters, common, bits=self.bits, hashes=self.config.hashes, threshold=self.config.similarity_threshold, since=since, words=self.words
+        )
 
     def restore(self, store: IndexStore) -> bool:
-        """Take the saved filters instead of building them; whether there were any that fit."""
+        """Take the saved filters, stopwords and word index instead of building them; whether there were any that fit."""
         saved = store.load(bits=self.bits, hashes=self.config.hashes)
         if saved is None:
             return False
         self.__dict__["filters"] = saved.filters
+        self.__dict__["common"] = (saved.stopwords, saved.since)
+        if saved.words is not None:
+            self.__dict__["words"] = saved.words
         return True
+
+    def initialize(self, store: IndexStore | None = None) -> bool:
+        """Start from the saved index if there is one that fits, else build it and save it; whether it was there."""
+        if store is not None and self.restore(store):
+            return True
+        self.reindex(store)
+        return False
+
+    def reindex(self, store: IndexStore | None = None) -> None:
+        """Build everything anew and save it."""
+        self.stop()
+        self.filters.count()
+        if store is not None:
+            self.save(store)
+
+    def process(self, changes: DataFrame) -> None:
+        """Take in ``changes`` (doc_id, op, text, ts): new filters and words of added and edited documents, none of deleted ones.
+
+        The stopwords stay as they were learned, and words are admitted as in the index as it is: those
+        that other documents have, and new ones.
+        """
+        last = cut(last_changes(changes.select("doc_id", "op", "text", "ts")))
+        tokens = cut(tokenized(bounded(last.where(F.col("op") != "delete").select("doc_id", "text"), self.config, self.config.text_bound(self.documents))))
+        texts = preprocessed(tokens, self.config, self.common[0])
+        own = legacy_terms(tokens, self.config, self.common[0]) if self.legacy else document_terms(texts, self.config.capped_pairs)
+        kept = self.filters.join(last, "doc_id", "left_anti")
+        words = postings.remove_documents(self.words, last)
+        self.__dict__["filters"] = cut(kept.unionByName(build_filters(own, self.bits, self.config.hashes).select(kept.columns)))
+        self.__dict__["words"] = cut(words.unionByName(postings.document_words(tokens).select(words.columns)))
+
+    def stop(self) -> None:
+        """Forget all that was computed."""
+        for name in ("documents", "bits", "texts", "tokens", "common", "filtered", "terms", "filters", "words"):
+            self.__dict__.pop(name, None)

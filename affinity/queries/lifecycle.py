@@ -11,6 +11,7 @@ from affinity.config import DEFAULT
 from affinity.functions.text import base_name
 from affinity.operators.links import has_link, link_edges, with_link
 from affinity.operators.stats import debug_info
+from affinity.plans.related import RelatedEngine
 from affinity.queries.base import QUERY, engine, sql
 from affinity.session import cut, shared_dir
 from affinity.sources import store
@@ -47,8 +48,16 @@ def add_link(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def note_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Who links to whom among the notes, by the titles and paths found between the brackets."""
-    return link_edges(note_corpus(spark, folder))
+    """Who links to whom among the notes, by the titles and paths found between the brackets.
+
+    Every note gets two links besides its own: to the title of the note after it and to the path of the fifth after it.
+    """
+    notes = note_corpus(spark, folder)
+    title = notes.select((F.col("doc_id") - 1).alias("doc_id"), F.col("title").alias("next_title"))
+    path = notes.select((F.col("doc_id") - 5).alias("doc_id"), F.regexp_replace("path", r"(?i)\.md$", "").alias("next_path"))
+    linked = notes.join(title, "doc_id", "left").join(path, "doc_id", "left")
+    new = F.concat_ws(" ", "text", F.concat(F.lit("[["), F.upper("next_title"), F.lit("|x]]")), F.concat(F.lit("[y]("), F.col("next_path"), F.lit(".md)")))
+    return link_edges(linked.select("doc_id", "path", "title", new.alias("text")))
 
 
 def debug_info_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +74,17 @@ def index_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return saved.filters.select("doc_id", "popcount")
 
 
+def restart(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents most related to one, by an engine that starts from a saved index over a corpus without texts."""
+    own = engine(spark, folder)
+    place = store.IndexStore(spark, _place(spark))
+    own.initialize(place)
+    again = RelatedEngine(own.corpus.withColumn("text", F.lit(None).cast("string")), own.config, now=own.now)
+    if not again.initialize(place):
+        raise OSError("the saved index was not taken")
+    return again.related(QUERY, 20).select("doc_id", "similarity")
+
+
 def filter_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     own = engine(spark, folder)
     again = store.from_json(store.to_json(own.filters), own.bits, 3)
@@ -105,19 +125,19 @@ def incremental_delete(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_index(spark: SparkSession, folder: str) -> DataFrame:
     live, changes = _live(spark, folder)
-    feed = _place(spark)
+    feed, checkpoint = _place(spark), _place(spark)
     names = [c.split()[0] for c in CHANGES.split(", ")]
-    changes.select(names).where("op = 'create'").coalesce(2).write.parquet(feed)
-    live.follow(feed, _place(spark)).awaitTermination()
-    changes.select(names).where("op <> 'create'").coalesce(2).write.mode("append").parquet(feed)
-    query = live.follow(feed, _place(spark))
-    query.awaitTermination()
+    changes.select(names).where("op = 'create'").repartition(3).write.parquet(feed)
+    live.follow(feed, checkpoint, files_per_batch=1).awaitTermination()
+    # a later run goes on from the checkpoint, with the files that came in since
+    changes.select(names).where("op <> 'create'").coalesce(1).write.mode("append").parquet(feed)
+    live.follow(feed, checkpoint, files_per_batch=1).awaitTermination()
     return live.current().select("doc_id", "popcount")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (link_exists, add_link, note_links, debug_info_json, index_roundtrip, filter_roundtrip, incremental_upsert, incremental_delete, stream_index)
+    for f in (link_exists, add_link, note_links, debug_info_json, index_roundtrip, restart, filter_roundtrip, incremental_upsert, incremental_delete, stream_index)
 }
 
 _LINKED = r"""SELECT doc_id, path, base, text || CASE doc_id % 6
@@ -139,13 +159,18 @@ SQL = {
         linked=_LINKED,
     ),
     "note_links": r"""
-        WITH own AS (SELECT DISTINCT note_id AS id, path, basename, coalesce(text, '') AS text FROM notes WHERE lower(extension) = 'md' AND note_id IS NOT NULL),
+        WITH notes_md AS (SELECT DISTINCT note_id AS id, path, basename, mtime, coalesce(text, '') AS text FROM notes WHERE lower(extension) = 'md' AND note_id IS NOT NULL),
+        own AS (
+            SELECT o.id, o.path, o.basename, o.text || coalesce(' [[' || upper(t.basename) || '|x]]', '') || coalesce(' [y](' || regexp_replace(p.path, '(?i)\.md$', '') || '.md)', '') AS text
+            FROM notes_md o LEFT JOIN notes_md t ON t.id = o.id + 1 LEFT JOIN notes_md p ON p.id = o.id + 5
+        ),
         targets AS (SELECT DISTINCT id, lower(unnest(list_concat(regexp_extract_all(text, '\[\[([^\[\]|\n#]+)', 1), regexp_extract_all(text, '\]\(([^()\n]+)\.md\)', 1)))) AS target FROM own),
         names AS (SELECT DISTINCT id, unnest([lower(basename), lower(path), lower(regexp_replace(path, '(?i)\.md$', ''))]) AS target FROM own)
         SELECT DISTINCT t.id AS src_id, n.id AS dst_id FROM targets t JOIN names n USING (target) WHERE t.id <> n.id
     """,
     "debug_info_json": sql("SELECT 5 AS max_suggestions, 'Related Notes' AS custom_title, (SELECT count(*) FROM pops) AS documents, m AS bits FROM conf"),
     "index_roundtrip": sql("SELECT doc_id, n AS popcount FROM pops"),
+    "restart": sql("SELECT doc_id, similarity FROM scores WHERE similarity > 0 ORDER BY similarity DESC, doc_id LIMIT 20"),
     "filter_roundtrip": sql(f"SELECT doc_id, bit // 64 AS word_idx, bit_or({_WORD}) AS word FROM bits GROUP BY doc_id, bit // 64"),
     "incremental_upsert": sql("SELECT doc_id, n AS popcount FROM pops", **_PLAIN),
     "incremental_delete": sql("SELECT doc_id, n AS popcount FROM pops WHERE doc_id % 7 <> 0", **_PLAIN),

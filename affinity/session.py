@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set for the session.
+    It is the one named in ``spark.checkpoint.dir`` or set for the session. Only where neither is and all
+    executors are on this machine, as in tests, a temporary folder is made and set.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="affinity-"))
     return context.getCheckpointDir()
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators.bitmap import SCHEMA
@@ -15,6 +15,7 @@ from affinity.sources.files import Files
 
 FORMAT_VERSION = 2
 OLDEST_DAYS = 30
+WORDS = ("doc_id", "pos", "word")
 KEYS = ("version", "timestamp", "params", "stats", "current")
 
 
@@ -23,6 +24,12 @@ class SavedIndex:
     filters: DataFrame
     stopwords: list[str]
     manifest: dict[str, Any]
+    words: DataFrame | None = None  # the word index, where it was saved
+
+    @property
+    def since(self) -> int | None:
+        """The id from which documents are filtered by the stopwords; null for all."""
+        return self.manifest["params"].get("since")
 
 
 def validate_manifest(manifest: Any, now: datetime | None = None) -> tuple[bool, str]:
@@ -60,19 +67,27 @@ class IndexStore:
     def _versions(self) -> list[int]:
         return sorted(int(n[2:]) for n in self.files.names() if n.startswith("v=") and n[2:].isdigit())
 
-    def save(self, filters: DataFrame, stopwords: list[str], *, bits: int, hashes: int, threshold: float | None = None, keep: int = 2) -> dict[str, Any]:
+    def save(
+        self, filters: DataFrame, stopwords: list[str], *, bits: int, hashes: int, threshold: float | None = None,
+        since: int | None = None, words: DataFrame | None = None, keep: int = 2,
+    ) -> dict[str, Any]:
         version = max(self._versions(), default=0) + 1
         place = self.files.at(f"v={version}")
-        filters.write.parquet(f"{place}/filters")
-        words = self.spark.createDataFrame([(w,) for w in stopwords], "word string")
-        words.coalesce(1).write.parquet(f"{place}/stopwords")
+        written = Observation("index")
+        filters.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{place}/filters")
+        common = self.spark.createDataFrame([(w,) for w in stopwords], "word string")
+        common.coalesce(1).write.parquet(f"{place}/stopwords")
+        if words is not None:
+            words.select(*WORDS).write.parquet(f"{place}/words")
         count = self.spark.read.schema(SCHEMA).parquet(f"{place}/filters").count()
+        if count != written.get["n"]:
+            raise OSError("the filters were not written whole")
         if self.spark.read.parquet(f"{place}/stopwords").count() != len(stopwords):
             raise OSError("the stopwords were not written whole")
         manifest = {
             "version": FORMAT_VERSION,
             "timestamp": datetime.now(timezone.utc).isoformat(),
-            "params": {"bits": bits, "hashes": hashes, "similarity_threshold": threshold},
+            "params": {"bits": bits, "hashes": hashes, "similarity_threshold": threshold, "since": since},
             "stats": {"documents": count, "stopwords": len(stopwords)},
             "current": version,
         }
@@ -104,8 +119,10 @@ class IndexStore:
         filters = filters.where((F.col("m") == bits) & (F.size("words") == bits // 64))
         if filters.isEmpty():
             return None
-        words = [r.word for r in self.spark.read.schema("word string").parquet(f"{place}/stopwords").collect()]
-        return SavedIndex(filters, words, manifest)
+        common = [r.word for r in self.spark.read.schema("word string").parquet(f"{place}/stopwords").collect()]
+        known = self.files.exists(f"v={manifest['current']}/words")
+        words = self.spark.read.schema("doc_id bigint, pos int, word string").parquet(f"{place}/words") if known else None
+        return SavedIndex(filters, common, manifest, words)
 
     def delete(self) -> bool:
         """Remove the saved index; whether there was one."""

@@ -153,7 +153,7 @@ def test_stopwords_are_learned_from_all_documents(spark):
 
 
 def test_settings():
-    assert DEFAULT.filter_bits(10) == 8192 and DEFAULT.filter_bits(5001) == 4096 and DEFAULT.text_limit(5001) == 5000
+    assert DEFAULT.filter_bits(10) == DEFAULT.filter_bits(5001) == COMPAT.filter_bits(10) == 8192 and COMPAT.filter_bits(5001) == 4096 and DEFAULT.text_limit(5001) == 5000
     assert EngineConfig(bits=100).filter_bits(1) == 128
     assert DEFAULT.with_overrides({"max_suggestions": 7, "custom_title": ""}).custom_title == "Related Notes"
     for bad in ({"max_suggestions": 0}, {"max_suggestions": 21}, {"bits": 0}, {"stopword_mode": "x"}):
@@ -264,7 +264,65 @@ def test_live_index(spark, tmp_path):
     wanted = sorted((r.doc_id, r.popcount) for r in live.filters_of(spark.createDataFrame([(1, "final words"), (3, "")], "doc_id bigint, text string")).collect())
     assert state() == wanted
     live.compact()
-    assert state() == wanted and len([n for n in live.files.names() if n.startswith("segment=")]) == 1
+    assert state() == wanted
+    live.apply(spark.createDataFrame([(3, "delete", None, t)], changes), 2)
+    assert [d for d, _ in state()] == [1]
+    before = live.files.write
+    live.files.write = lambda *a: (_ for _ in ()).throw(OSError("crash"))
+    with pytest.raises(OSError):
+        live.compact()
+    live.files.write = before
+    assert [d for d, _ in state()] == [1]
+    live.compact()
+    assert [d for d, _ in state()] == [1] and live._state() == ("compacted-000000000002", [])
+
+
+def test_a_stream_goes_on_after_a_failure(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    schema = "doc_id bigint, op string, text string, ts timestamp"
+    feed, checkpoint = str(tmp_path / "feed"), str(tmp_path / "checkpoint")
+    live = LiveIndex(spark, str(tmp_path / "live"), 8192, PLAIN)
+    batches = []
+
+    def follow(fail_at=None):
+        def apply(changes, batch):
+            batches.append(batch)
+            real(changes, batch)
+            if batch == fail_at:
+                raise OSError("crash")
+
+        real, live.apply = LiveIndex.apply.__get__(live), apply
+        query = live.follow(feed, checkpoint, files_per_batch=1)
+        query.awaitTermination()
+
+    for i in range(3):
+        spark.createDataFrame([(i, "create", f"some words{i} of text{i}", t)], schema).coalesce(1).write.mode("append").parquet(feed)
+    with pytest.raises(Exception, match="crash"):
+        follow(fail_at=1)
+    assert batches == [0, 1]
+    follow()
+    assert batches == [0, 1, 1, 2] and sorted(r.doc_id for r in live.current().collect()) == [0, 1, 2]
+    spark.createDataFrame([(1, "delete", None, t)], schema).coalesce(1).write.mode("append").parquet(feed)
+    follow()
+    assert batches == [0, 1, 1, 2, 3] and sorted(r.doc_id for r in live.current().collect()) == [0, 2]
+
+
+def test_an_engine_starts_from_its_saved_index_and_takes_changes(spark, tmp_path):
+    texts = {i: f"common words{i % 4} topic{i % 4} and own{i} things" for i in range(40)}
+    place = store.IndexStore(spark, str(tmp_path / "index"))
+    config = DEFAULT.with_overrides({"max_stopwords": 2})
+    first = RelatedEngine(corpus(spark, texts), config)
+    assert not first.initialize(place)
+    again = RelatedEngine(corpus(spark, texts).withColumn("text", F.raise_error(F.lit("read"))), config)
+    assert again.initialize(place) and again.common == first.common
+    assert sorted(again.words.collect()) == sorted(first.words.collect()) and again.related(3).collect() == first.related(3).collect()
+    t = datetime(2024, 1, 1)
+    changes = [(3, "delete", None, t), (50, "create", "common words9 newtopic", t), (7, "modify", "entirely newtopic text", t)]
+    again.process(spark.createDataFrame(changes, "doc_id bigint, op string, text string, ts timestamp"))
+    assert not again.is_indexed(3) and again.is_indexed(50) and again.similarity(7, 50) > 0 and again.similarity(7, 11) == 0
+    assert {r.doc_id for r in postings.documents_with_word(again.words, "newtopic").collect()} == {7, 50}
+    again.stop()
+    assert "filters" not in again.__dict__
 
 
 def test_markdown_folder(spark, tmp_path):
