@@ -2,7 +2,8 @@
 
 For each language a zstandard dictionary of raw sentences is made from labelled documents. A
 sentence belongs to the language whose dictionary lets it compress best; where the next best is
-nearly as good, or where no dictionary helps, it stays without a language.
+nearly as good, or where no dictionary helps, it stays without a language. The dictionary of the
+sentence before is tried first, and alone where it does better than it ever does on another language.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -43,11 +44,26 @@ MARGIN, RATIO = 0.08, 0.75
 
 FRONT = re.compile(r"\A\s*---[ \t]*\n.*?\n---[ \t]*(?=\n|\Z)", re.S)
 FENCED = re.compile(r"(`{3,}|~{3,}).*?\1|`[^`\n]+`", re.S)
-OTHER = re.compile(r"https?://\S+|\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)|</?[a-zA-Z][^<>\n]*>|[#@]\w[\w/-]*|\b\w*\d\w*\b|^\s*\{.*\}\s*$", re.M)
-SENTENCE = re.compile(r"(?:(?! / )[^.!?。！？\n])+[.!?。！？]*")
+#: What has no language, each with characters of which the text must have one.
+OTHER = [
+    (":", re.compile(r"https?://\S+")),
+    ("[", re.compile(r"\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)")),
+    ("<", re.compile(r"</?[a-zA-Z][^<>\n]*>")),
+    ("#@", re.compile(r"[#@]\w[\w/-]*")),
+    ("{", re.compile(r"^[^\S\n]*\{.*\}[^\S\n]*$", re.M)),
+]
+#: Codes and numbers, taken out of single sentences; and marks at the ends of a sentence.
+DIGIT, CODE = re.compile(r"\d"), re.compile(r"\b[^\W\d]*\d\w*")
+ENDS = " \t-+*>#|:;,'\"()[]/"
+SENTENCE = re.compile(r"(?:[^.!?。！？\n ]+| (?!/ ))+[.!?。！？]*")
+#: Characters that show nothing or mark emphasis; and accents.
+NOISE = re.compile("[\xad\u200b-\u200f\u2060\ufeff*_]+")
+ACCENTS = re.compile(r"[\u0300-\u036f\u3099\u309a]+")
 WORD = re.compile(r"[^\W\d_]+")
 JAPANESE = re.compile(r"[぀-ヿ㐀-鿿々ｦ-ﾟ]")
 CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+#: Lines of each other language by which a dictionary's bound is found, and the share of them that may lie below it.
+BOUND_LINES, BOUND_SHARE = 1500, 0.001
 
 
 def label_code(label: Column) -> Column:
@@ -58,24 +74,40 @@ def label_code(label: Column) -> Column:
 
 
 def plain(text: str) -> str:
-    """Lower case without accents, so that texts in one case or without accents compare."""
-    text = text.lower()
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    """Lower case without accents, emphasis, numbers, invisible characters and repeated blanks, so that noisy texts compare."""
+    if DIGIT.search(text):
+        text = CODE.sub(" ", text)
+    text = text.strip(ENDS)
+    text = " ".join(NOISE.sub("", text).lower().split())
+    return text if text.isascii() else ACCENTS.sub("", unicodedata.normalize("NFKD", text))
 
 
 def masked(text: str) -> str:
-    """The text with properties, code, links, tags, codes and numbers blanked, places kept."""
+    """The text with properties, code, links and tags blanked, places kept."""
     def blank(m: re.Match) -> str:
-        return re.sub(r"[^\n]", " ", m[0])
-
-    for pattern in (FRONT, FENCED, OTHER):
-        text = pattern.sub(blank, text)
+        return m[0].translate(blanks)
+
+    blanks = _Blanks()
+    if text.lstrip().startswith("---"):
+        text = FRONT.sub(blank, text)
+    if "`" in text or "~~~" in text:
+        text = FENCED.sub(blank, text)
+    for marks, pattern in OTHER:
+        if any(c in text for c in marks):
+            text = pattern.sub(blank, text)
     return text
 
 
+class _Blanks(dict):
+    """A blank for every character but the end of a line."""
+
+    def __missing__(self, c: int) -> int:
+        return 10 if c == 10 else 32
+
+
 def script(text: str) -> str:
+    if text.isascii():
+        return ""
     letters = len(WORD.findall(text))
     japanese = len(JAPANESE.findall(text))
     if japanese > 4 or japanese > letters:
@@ -86,11 +118,14 @@ def script(text: str) -> str:
 def sentences(text: str) -> Iterator[tuple[int, int, str, int]]:
     """(start, end, plain text, size) of each sentence; size in words, of Japanese in half characters."""
     for m in SENTENCE.finditer(masked(text)):
-        line = m[0].strip(" \t-+*>#|:;,'\"()[]/")
-        japanese = len(JAPANESE.findall(line))
+        line = m[0]
+        if len(line) < 3:
+            continue
+        line = plain(line)
+        japanese = 0 if line.isascii() else len(JAPANESE.findall(line))
         size = japanese // 2 if japanese > 4 else len(WORD.findall(line))
         if size >= 3:
-            yield m.start(), m.end(), plain(line), size
+            yield m.start(), m.end(), line, size
 
 
 def dictionary_text(lines: list[str], most: int) -> bytes:
@@ -107,12 +142,17 @@ def dictionary_text(lines: list[str], most: int) -> bytes:
 
 @dataclass
 class Classifier:
-    """Dictionaries of raw content by language."""
+    """Dictionaries of raw content by language.
+
+    ``floors`` has, for each dictionary, the share of their size to which it brings sentences of other languages at
+    best. A sentence that its neighbour's dictionary brings below that by the margin needs no other dictionary.
+    """
 
     texts: dict[str, bytes]
     level: int = 3
     margin: float = MARGIN
     ratio: float = RATIO
+    floors: dict[str, float] = field(default_factory=dict)
     _ready: dict[str, dict[str, zstandard.ZstdCompressor]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -150,9 +190,28 @@ class Classifier:
             return None, max(0.0, margin)
         return ordered[0][0], margin
 
-    def line(self, line: str) -> tuple[str | None, float]:
+    def line(self, line: str, guess: str | None = None) -> tuple[str | None, float]:
+        """The language and confidence of a sentence; ``guess``, a neighbour's language, is tried first."""
+        floor = self.floors.get(guess)
+        if floor:
+            own = self._compressors()[script(line)].get(guess)
+            if own:
+                data = line.encode()
+                share = len(own.compress(data)) / len(data)
+                if share <= min(floor * (1 - self.margin), self.ratio):
+                    return guess, 1 - share / floor
         return self.judge(self.sizes(line), len(line.encode()))
 
+    def calibrated(self, lines: dict[str, list[str]]) -> Classifier:
+        """With ``floors`` from sentences by language; that of a dictionary alone in its script is the plain size."""
+        floors = {}
+        for own in self._compressors().values():
+            for lang, compressor in own.items():
+                data = [x.encode() for other in own if other != lang for x in lines.get(other, [])[:BOUND_LINES]]
+                shares = [len(compressor.compress(d)) / len(d) for d in data]
+                floors[lang] = float(np.quantile(shares, BOUND_SHARE)) if shares else 1.0
+        return replace(self, floors=floors)
+
 
 def _marks(line: str) -> set[str]:
     """The words of a sentence, of Japanese its characters."""
@@ -166,28 +225,32 @@ def sifted(docs: list[tuple[str, list[str]]], rounds: int = 3) -> list[tuple[str
     its own: a word counts for a language by the share of that label's documents with it.
     Sentences for which another label is likelier are left out, and counting starts again.
     """
-    if not docs:
-        return []
     names = sorted({lang for lang, _ in docs})
-    marked = [(names.index(lang), [(x, _marks(x)) for x in lines]) for lang, lines in docs]
+    places: dict[str, int] = {}
+    doc, words, sizes = [], [], []
+    for i, (_, lines) in enumerate(docs):
+        for line in lines:
+            marks = [places.setdefault(w, len(places)) for w in sorted(_marks(line))]
+            doc.append(i)
+            words += marks
+            sizes.append(len(marks))
+    if not words:
+        return [(lang, []) for lang, _ in docs]
+    lang = np.array([names.index(n) for n, _ in docs])
+    doc, words, sizes = np.array(doc), np.array(words), np.array(sizes)
+    starts, line_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    kept = sizes > 0
     for _ in range(rounds):
-        held = np.zeros(len(names))
-        seen: dict[str, np.ndarray] = {}
-        for lang, lines in marked:
-            held[lang] += bool(lines)
-            for w in set().union(*(m for _, m in lines)):
-                if w not in seen:
-                    seen[w] = np.zeros(len(names))
-                seen[w][lang] += 1
-        words = list(seen)
-        share = np.array([seen[w] for w in words]).reshape(-1, len(names)) / np.maximum(held, 1)
-        weight = dict(zip(words, np.log((share + 1e-3) / (share.sum(axis=1, keepdims=True) + 1e-2))))
-
-        def likeliest(marks: set[str]) -> int:
-            return int(sum(weight[w] for w in marks).argmax()) if marks else -1
-
-        marked = [(lang, [(x, m) for x, m in lines if likeliest(m) == lang]) for lang, lines in marked]
-    return [(names[lang], [x for x, _ in lines]) for lang, lines in marked]
+        held = np.bincount(lang[np.unique(doc[kept])], minlength=len(names))
+        own = kept[line_of]
+        seen = np.unique(doc[line_of[own]] * len(places) + words[own])  # each word once a document
+        share = np.bincount(seen % len(places) * len(names) + lang[seen // len(places)], minlength=len(places) * len(names))
+        share = share.reshape(-1, len(names)) / np.maximum(held, 1)
+        weight = np.log((share + 1e-3) / (share.sum(axis=1, keepdims=True) + 1e-2))
+        score = np.stack([np.bincount(line_of, weight[words, k], minlength=len(sizes)) for k in range(len(names))], axis=1)
+        kept &= score.argmax(axis=1) == lang[doc]
+    keep = iter(kept.tolist())
+    return [(name, [x for x in lines if next(keep)]) for name, lines in docs]
 
 
 def train(labelled: list[tuple[str, str]], *, most: int = DICTIONARY_BYTES) -> Classifier:
@@ -195,7 +258,7 @@ def train(labelled: list[tuple[str, str]], *, most: int = DICTIONARY_BYTES) -> C
     lines = defaultdict(list)
     for lang, own in sifted([(lang, [s[2] for s in sentences(text)]) for lang, text in labelled]):
         lines[lang] += own
-    return Classifier({lang: dictionary_text(own, most) for lang, own in lines.items()})
+    return Classifier({lang: dictionary_text(own, most) for lang, own in lines.items()}).calibrated(lines)
 
 
 def labelled_sample(df: DataFrame, text: str, label: str, docs: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
@@ -213,19 +276,15 @@ SEGMENT = StructType([
 ])
 
 
-def segments_of(text: str, judge: Classifier, cache: dict[str, tuple[str | None, float]]) -> list[tuple]:
+def segments_of(text: str, judge: Classifier) -> list[tuple]:
     """The document's segments of one language, as (start, end, lang, confidence, size)."""
     found: list[list] = []
     for start, end, line, size in sentences(text):
-        lang, confidence = cache.get(line) or (None, -1.0)
-        if confidence < 0:
-            lang, confidence = judge.line(line)
-            if len(cache) < 100_000:
-                cache[line] = lang, confidence
+        last = found[-1] if found else None
+        lang, confidence = judge.line(line, last[2] if last else None)
         if lang is None:
             continue
-        if found and found[-1][2] == lang:
-            last = found[-1]
+        if last and last[2] == lang:
             last[1], last[3], last[4] = end, last[3] + confidence * size, last[4] + size
         else:
             found.append([start, end, lang, confidence * size, size])
@@ -258,9 +317,8 @@ def languages(df: DataFrame, id_col: str, text_col: str, judge: Classifier, *, k
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, tuple[str | None, float]] = {}
         for texts in batches:
-            yield texts.map(lambda t: [dict(zip(SEGMENT.names, s)) for s in segments_of(t, judge, cache)] if t else [])
+            yield texts.map(lambda t: [dict(zip(SEGMENT.names, s)) for s in segments_of(t, judge)] if t else [])
 
     split = F.pandas_udf(run, ArrayType(SEGMENT))
     return df.select(F.col(id_col).alias("id"), split(F.col(text_col)).alias("segments"), *(keep or []))

@@ -80,3 +80,30 @@ def test_the_sample_is_bounded_and_deterministic(spark):
     taken = labelled_sample(df, "text", "lang", docs=4)
     assert len(taken) == 16 and taken == labelled_sample(df.repartition(3), "text", "lang", docs=4)
     assert train([]).texts == {} and train([]).line("some text here") == (None, 0.0)
+
+
+def test_the_neighbours_dictionary_is_enough_only_where_it_does_better_than_on_other_languages():
+    judge = train(labelled(6))
+    rng = random.Random(7)
+    assert set(judge.floors) == set(PARTS) and judge.floors["ja"] == 1.0
+    from affinity.llm.language import plain
+
+    for lang in PARTS:
+        for guess in (*PARTS, None, "xx"):
+            lines = [plain(sentence(rng, lang)) for _ in range(40)]
+            assert sum(judge.line(x, guess)[0] == lang for x in lines) >= 39
+            assert all(0 <= judge.line(x, guess)[1] <= 1 for x in lines)
+
+
+def test_noise_inside_words_makes_no_difference():
+    from affinity.llm.language import plain, sentences
+
+    assert plain("**The**  week\xadly\t_review_ a12b 77 – É") == "the weekly review – e"
+    assert [(x[2], x[3]) for x in sentences("3) the weekly 2024 review / der alte Entwurf! x1 y2. ok")] == [("the weekly review", 3), ("der alte entwurf!", 3)]
+
+
+def test_sifting_leaves_out_what_speaks_for_another_label():
+    from affinity.llm.language import sifted
+
+    docs = [("a", ["one two", "one three"])] * 5 + [("b", ["four five", "four six"])] * 5 + [("a", ["four five", ""]), ("c", [])]
+    assert sifted(docs)[-2:] == [("a", []), ("c", [])] and sifted(docs)[0] == docs[0] and sifted([]) == []
