@@ -57,12 +57,12 @@ EQUATION = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|math|d
 VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)(\*?)\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*\n?(.*?)\\end\{\1\2\}", re.S)
 SECTION = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")
 ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*")
-COMMAND = re.compile(r"(?<![\\\w:])\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")
+BRACE = re.compile(r"(?<![\\\w:])\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{|[{}]")
 BARE = re.compile(rf"(?<![\\\w:])\\({'|'.join(BARE_COMMANDS)})\b[ \t]*")
 DROPPED = {"label", "ref", "cite", "citep", "citet", "index", "vspace", "hspace", "usepackage", "documentclass", "pageref", "eqref"}
 
 WIKI_TABLE = re.compile(r"^\{\|.*?^\|\}", re.M | re.S)
-TEMPLATE = re.compile(r"\{\{(?:(?!\{\{|\}\}).)*\}\}", re.S)
+DOUBLE_BRACE = re.compile(r"\{\{|\}\}")
 WIKI_LINK = re.compile(r"!?\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")
 WIKI_HEAD = re.compile(r"^[ \t]*(={2,6})[ \t]*([^=\n](?:.*?[^=\n])?)[ \t]*\1[ \t]*$", re.M)
 QUOTED = re.compile(r"(?<!')('{5}|'{2,3})(?=[^\s'])((?:(?!'').)+?)(?<=[^\s'])\1(?!')")
@@ -153,6 +153,51 @@ def _formulas(s: _Scan) -> None:
         s.sub("latex", INLINE, lambda m: s.keep("$" + m[1] + "$") if FORMULA.search(m[1]) else None)
 
 
+def _commands(text: str) -> str:
+    """The arguments in place of LaTeX commands, however deep these are nested, in one pass.
+
+    A command whose argument still holds a brace is left as it is.
+    """
+    out: list[str] = []
+    open_at: list[tuple[int, str | None]] = []  # piece and command name of each open brace, null for a plain one
+    plain: list[bool] = []  # whether a plain brace stands inside it
+    at = 0
+    for m in BRACE.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        out.append(m[0])
+        if m[0] != "}":
+            open_at.append((len(out) - 1, m[1]))
+            plain.append(False)
+            continue
+        if not open_at:
+            continue
+        (head, name), braced = open_at.pop(), plain.pop()
+        if name is None or braced:
+            if plain:
+                plain[-1] = True
+        elif name in DROPPED:
+            del out[head:]
+        else:
+            out[head], out[-1] = (" (", ")") if name == "footnote" else ("", "")
+    return "".join(out) + text[at:]
+
+
+def _without_templates(text: str) -> str:
+    """The text without templates, however deep these are nested, in one pass."""
+    out: list[str] = []
+    open_at: list[int] = []
+    at = 0
+    for m in DOUBLE_BRACE.finditer(text):
+        out += [text[at : m.start()], m[0]]
+        at = m.end()
+        if m[0] == "{{":
+            open_at.append(len(out) - 1)
+        elif open_at:
+            del out[open_at.pop() :]
+    return "".join(out) + text[at:]
+
+
 def _latex(s: _Scan) -> None:
     if "\\" not in s.text:
         return
@@ -166,11 +211,10 @@ def _latex(s: _Scan) -> None:
             s.text = re.sub(r"[ \t]*\\\\[ \t]*$", "", s.text, flags=re.M)
             s.text = re.sub(r"(?m)^([^\n&]*(?<!\\)[ \t]&[ \t][^\n]*)$", lambda m: m[0].replace(" & ", " | "), s.text) if before != s.text else s.text
     s.sub("latex", re.compile(r"(?m)^[ \t]*\\item\b(?:\[[^\]\n]*\])?[ \t]*"), lambda m: "- ")
-    for _ in range(8):  # innermost first
-        old = s.text
-        s.sub("latex", COMMAND, lambda m: "" if m[1] in DROPPED else f" ({m[2]})" if m[1] == "footnote" else m[2])
-        if s.text == old:
-            break
+    new = _commands(s.text)
+    if new != s.text:
+        s.found.add("latex")
+        s.text = new
     s.sub("latex", BARE, lambda m: "")
 
 
@@ -187,11 +231,10 @@ def _wiki(s: _Scan) -> None:
 
         s.sub("wiki", WIKI_TABLE, table)
     if "{{" in s.text:
-        for _ in range(8):
-            old = s.text
-            s.sub("wiki", TEMPLATE, lambda m: "")
-            if s.text == old:
-                break
+        new = _without_templates(s.text)
+        if new != s.text:
+            s.found.add("wiki")
+            s.text = new
     if "[[" in s.text:
         def link(m: re.Match) -> str:
             if m[1].lower().startswith(("category:", "file:", "image:")) and not m[0].startswith("!"):
@@ -260,7 +303,9 @@ def _tags(s: _Scan) -> None:
                 return None
             return html.unescape(m[0]).replace("\xa0", " ")
 
-        for _ in range(2):  # characters that were escaped twice
+        old = None
+        while s.text != old:  # characters that were escaped several times; each round makes the text shorter
+            old = s.text
             s.sub("html", ENTITY, character)
 
 

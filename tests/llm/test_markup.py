@@ -63,3 +63,12 @@ def test_odd_rows(spark):
     assert found[1] == (None, []) and found[2] == ("", []) and found[3] == ("a", ["markdown"]) and found[None] == ("x", ["html"])
     assert found[4][1] == ["markdown"] and "*" not in found[4][0] and found[4][0].count("\ue000") == 20_000
     assert clean_text(df.limit(0), "note_id", "text").collect() == []
+
+
+def test_nesting_has_no_limit():
+    for depth in (1, 12, 5000):
+        assert scan("a " + r"\textbf{" * depth + "x" + "}" * depth + " b") == ("a x b", ["latex"])
+        assert scan("a " + "{{t|" * depth + "x" + "}}" * depth + "b") == ("a b", ["wiki"])
+    assert scan("&" + "amp;" * 9 + "lt; 3")[0] == "< 3"
+    assert scan(r"\emph{a {b} c} and \label{x \ref{y}}z \footnote{n}")[0] == r"\emph{a {b} c} and z  (n)"
+    assert scan("a }} b {{ c")[1] == [] and scan("{{a}} }} {{b")[0] == "}} {{b"
