@@ -104,28 +104,33 @@ def word_bits(codes: np.ndarray) -> np.ndarray:
     return np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1)
 
 
-def fingerprints(bits: np.ndarray, window: int, step: int = 1) -> np.ndarray:
-    """The SimHash of the windows at every ``step`` words: each bit is that of most of the words."""
-    n = len(bits) - window + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    if step == 1 and window < 256:
-        # sums over 1, 2, 4, ... words, put together to the window's number of them
-        total, at, width, power = None, 0, 1, bits
-        while True:
-            if window & width:
-                part = power[at : at + n]
-                total = part.copy() if total is None else total + part
-                at += width
-            width *= 2
-            if width > window:
-                break
-            power = power[: -width // 2] + power[width // 2 :]
-    else:
-        upto = np.zeros((len(bits) + 1, 64), np.uint32)
-        np.cumsum(bits, axis=0, out=upto[1:])
-        total = upto[window::step] - upto[: n : step]
-    return np.packbits(total > window // 2, axis=1).view(np.uint64).ravel()
+class WindowSums:
+    """Sums of the bits over windows of words, put together from those over 1, 2, 4, ... words, which all sizes share."""
+
+    def __init__(self, codes: np.ndarray):
+        self.words = len(codes)
+        self.powers = [word_bits(codes)]
+
+    def _power(self, k: int) -> np.ndarray:
+        while len(self.powers) <= k:
+            last, width = self.powers[-1], 1 << (len(self.powers) - 1)
+            if width == 128:
+                last = last.astype(np.uint32)
+            self.powers.append(last[:-width] + last[width:])
+        return self.powers[k]
+
+    def fingerprints(self, window: int, step: int = 1) -> np.ndarray:
+        """The SimHash of the windows at every ``step`` words: each bit is that of most of the words."""
+        n = self.words - window + 1
+        if n < 1:
+            return np.empty(0, np.uint64)
+        total, at = None, 0
+        for k in range(window.bit_length()):
+            if window >> k & 1:
+                part = self._power(k)[at : at + n : step]
+                total = part if total is None else total + part
+                at += 1 << k
+        return np.packbits(total > window // 2, axis=1).view(np.uint64).ravel()
 
 
 class Prints:
@@ -197,7 +202,7 @@ class WindowIndex:
         #: window, step, fingerprints, and the item and offset of each
         self.levels: list[tuple[int, int, Prints, np.ndarray, np.ndarray]] = []
         for (window, step), members in sorted(sized.items()):
-            prints = [fingerprints(word_bits(own[i]), window) for i in members]
+            prints = [WindowSums(own[i]).fingerprints(window) for i in members]
             owner = np.repeat(np.array(members, np.int64), [len(p) for p in prints])
             offset = np.concatenate([*(np.arange(len(p)) for p in prints), np.empty(0, np.int64)])
             merged = np.concatenate([*prints, np.empty(0, np.uint64)])
@@ -259,11 +264,11 @@ def _search(index: WindowIndex, least: float) -> Callable:
                 if not bounds:
                     return
                 flat = np.array(codes, np.uint64)
-                bits = word_bits(flat)
+                sums = WindowSums(flat)
                 owner = np.repeat([b[0] for b in bounds], [b[2] for b in bounds])
                 offset = np.concatenate([np.arange(b[1], b[1] + b[2]) for b in bounds])
                 for window, step, prints, mine, begin in index.levels:
-                    place, at = prints.near(fingerprints(bits, window, step))
+                    place, at = prints.near(sums.fingerprints(window, step))
                     place = place * step
                     # a window lies in one document, and in one piece of it
                     whole = (owner[place] == owner[place + window - 1]) & (offset[place + window - 1] - offset[place] == window - 1) if len(place) else place == 0

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from affinity.llm.leakage import CHUNK, Prints, fingerprints, leaked_items, window_sizes, word_bits, words
+from affinity.llm.leakage import CHUNK, Prints, WindowSums, leaked_items, window_sizes, word_bits, words
 
 RNG = random.Random(4)
 VOCABULARY = [f"w{i}" for i in range(300)]
@@ -38,13 +38,13 @@ def test_form_makes_no_difference():
 
 
 def test_fingerprint_is_the_majority_of_its_words():
-    codes = np.random.default_rng(2).integers(0, 2**63, 40).astype(np.uint64)
-    bits = word_bits(codes)
-    for window in (5, 13, 14, 40):
-        slow = [np.packbits(bits[i : i + window].astype(int).sum(0) > window // 2).view(np.uint64)[0] for i in range(40 - window + 1)]
-        assert fingerprints(bits, window).tolist() == slow
-        assert fingerprints(bits, window, 3).tolist() == slow[::3]
-    assert len(fingerprints(bits[:4], 5)) == 0
+    codes = np.random.default_rng(2).integers(0, 2**63, 700).astype(np.uint64)
+    bits, sums = word_bits(codes), WindowSums(codes)
+    for window in (5, 13, 14, 40, 255, 256, 600, 700):
+        slow = [np.packbits(bits[i : i + window].astype(int).sum(0) > window // 2).view(np.uint64)[0] for i in range(700 - window + 1)]
+        assert sums.fingerprints(window).tolist() == slow
+        assert sums.fingerprints(window, 3).tolist() == slow[::3]
+    assert len(WindowSums(codes[:4]).fingerprints(5)) == 0
 
 
 def test_index_finds_all_within_the_radius():
