@@ -44,12 +44,15 @@ GROWTH = 1.25
 INLINE_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 BREAK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr)\b[^<>]*>", re.I)
 WORD = re.compile(r"[^\W_]+")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 FOUND = "doc_id bigint, item_id bigint, first_word bigint, run bigint, similarity double"
 
 
 @lru_cache(maxsize=1)
-def _table() -> dict[int, str]:
-    return static_table()
+def _table() -> tuple[dict[int, str], re.Pattern]:
+    """The rewriting of look-alikes, and a pattern that finds what it rewrites in the first plane."""
+    table = static_table()
+    return table, re.compile("[" + "".join(f"\\u{c:04x}" for c in table if c < 0x10000) + "]")
 
 
 def words(text: str) -> list[str]:
@@ -57,8 +60,11 @@ def words(text: str) -> list[str]:
     if "<" in text:
         text = INLINE_TAG.sub("", BREAK_TAG.sub(" ", text))
     if not text.isascii():
-        # once more after the look-alikes, since their accents may compose then
-        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKD", text).translate(_table()))
+        table, changed = _table()
+        text = unicodedata.normalize("NFKD", text)
+        if changed.search(text) or BEYOND.search(text):
+            text = text.translate(table)
+        text = unicodedata.normalize("NFKC", text)  # only now, since accents of look-alikes may compose
     return WORD.findall(text.casefold())
 
 
@@ -193,6 +199,9 @@ class WindowIndex:
         # a shingle counts the more, the fewer items have it
         self.weights = np.log1p(len(texts) / np.maximum(held, 1))
         self.most = np.log1p(len(texts))
+        self.total = np.array([self.weights[np.searchsorted(self.known, x)].sum() for x in shingled])
+        self.present = np.zeros(1 << 20, bool)
+        self.present[self.known & np.uint64(len(self.present) - 1)] = True
         sizes = window_sizes(passage, max((len(c) for c in own), default=0))
         sized: dict[tuple[int, int], list[int]] = {(passage, 1): [i for i, c in enumerate(own) if len(c) >= passage]}
         for i, c in enumerate(own):
@@ -212,6 +221,16 @@ class WindowIndex:
     def length(self, item: np.ndarray) -> np.ndarray:
         return self.base[item + 1] - self.base[item]
 
+    def upto(self, codes: np.ndarray) -> np.ndarray:
+        """The running weight of the shingles at each word that any item has."""
+        own = shingles(codes)
+        weight = np.zeros(len(codes) + 1)
+        maybe = np.flatnonzero(self.present[own & np.uint64(len(self.present) - 1)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.known, own[maybe]), len(self.known) - 1)
+            weight[maybe + 1] = np.where(self.known[at] == own[maybe], self.weights[at], 0.0)
+        return np.cumsum(weight)
+
     def similarity(self, item: int, place: np.ndarray) -> float:
         """The weighted share of five-word shingles that an item and a document's words have in common, of all of both."""
         mine = np.unique(shingles(self.codes[self.base[item] : self.base[item + 1]]))
@@ -264,7 +283,7 @@ def _search(index: WindowIndex, least: float) -> Callable:
                 if not bounds:
                     return
                 flat = np.array(codes, np.uint64)
-                sums = WindowSums(flat)
+                sums, upto = WindowSums(flat), index.upto(flat)
                 owner = np.repeat([b[0] for b in bounds], [b[2] for b in bounds])
                 offset = np.concatenate([np.arange(b[1], b[1] + b[2]) for b in bounds])
                 for window, step, prints, mine, begin in index.levels:
@@ -278,6 +297,15 @@ def _search(index: WindowIndex, least: float) -> Callable:
                         theirs = index.codes[(index.base[mine[at]] + begin[at])[:, None] + steps]
                         exact = (flat[place[:, None] + steps] == theirs).all(axis=1)
                         place, at, exact = place[exact], at[exact], exact[exact]
+                    elif len(place):
+                        # what the place shares with the item is no more than what it shares with all items
+                        first = place - begin[at]
+                        last = first + index.length(mine[at])
+                        inside = (first >= 0) & (last <= len(flat))
+                        inside[inside] = owner[first[inside]] == owner[last[inside] - 1]
+                        held = upto[np.minimum(last, len(flat))] - upto[np.maximum(first, 0)]
+                        able = ~inside | (held >= least * index.total[mine[at]] - 1e-9)
+                        place, at, exact = place[able], at[able], exact[able]
                     if len(place):
                         hits.append((owner[place], mine[at], offset[place], begin[at], exact))
                         kept.update(dict.fromkeys(owner[place].tolist()))
