@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.functions.hashing import seeded
@@ -111,6 +111,17 @@ def fast_candidates(index: DataFrame, query: int, most: int = 100, count: int =
     return hits.groupBy("doc_id").agg(F.count("*").alias("matches")).orderBy(F.desc("matches"), "doc_id").limit(most)
 
 
+def fast_candidates_of_many(index: DataFrame, queries: DataFrame, most: int = 100, count: int = 4, seed: int = 0) -> DataFrame:
+    """(query_id, doc_id, matches, rank): ``fast_candidates`` of every document of ``queries`` (doc_id)."""
+    own = index.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(seeded(seed, F.col("doc_id"), F.col("word")), "word")
+    sample = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= count).select(F.col("doc_id").alias("query_id"), "word")
+    hits = index.join(sample, "word").where(F.col("doc_id") != F.col("query_id"))
+    found = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("matches"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("matches"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+
+
 def index_stats(index: DataFrame, documents: int) -> DataFrame:
     """One row of totals and averages of the word index."""
     totals = index.groupBy("word").agg(F.count("*").alias("df")).agg(

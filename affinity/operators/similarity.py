@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +164,61 @@ def exact_jaccard(terms: DataFrame, query: int) -> DataFrame:
     return others.select("doc_id", F.round(F.coalesce(F.try_divide(common, union), F.lit(0.0)), DECIMALS).alias("jaccard"))
 
 
+def _exact_block(ids: list[int], lists: list[list[str]], most: int) -> Callable:
+    """Holds each document's terms against a block of queries' terms, through the queries' inverted lists."""
+    vocabulary = sorted({t for own in lists for t in own})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    held = sorted((place[t], q) for q, own in enumerate(lists) for t in own)
+    of_term = np.array([q for _, q in held], np.int64)
+    starts = np.searchsorted(np.array([p for p, _ in held], np.int64), np.arange(len(vocabulary) + 1))
+    sizes = np.array([len(own) for own in lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = np.array(ids), pa.array(vocabulary, pa.string())
+        step = max(1, 2_000_000 // len(ids))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                docs, lists_here = np.asarray(batch["doc_id"]), batch["terms"]
+                codes = pc.index_in(lists_here.flatten(), value_set=known)
+                rows = np.asarray(pc.list_parent_indices(lists_here)).astype(np.int64)
+                there = np.asarray(codes.is_valid())
+                codes, rows = np.asarray(codes.drop_null()).astype(np.int64), rows[there]
+                count = starts[codes + 1] - starts[codes]
+                query = of_term[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[codes], count)]
+                both = np.bincount(query * len(docs) + np.repeat(rows, count), minlength=len(own) * len(docs)).reshape(len(own), len(docs))
+                lengths = np.asarray(lists_here.value_lengths().fill_null(0)).astype(np.int64)
+                value = np.round(both / np.maximum(sizes[:, None] + lengths[None, :] - both, 1), DECIMALS)
+                value[own[:, None] == docs[None, :]] = 0.0
+                by_id = np.argsort(docs, kind="stable")
+                best = by_id[np.argsort(-value[:, by_id], axis=1, kind="stable")[:, :most]]
+                score = np.take_along_axis(value, best, axis=1)
+                kept = score > 0
+                out = [np.repeat(own, best.shape[1]).reshape(best.shape)[kept], docs[best][kept], score[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "doc_id", "jaccard"])
+
+    return run
+
+
+def exact_to_many(terms: DataFrame, asked: DataFrame, most: int = 10, *, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id, jaccard, rank): the ``most`` documents with the greatest true overlap for each of ``asked`` (doc_id, terms).
+
+    The queries go to all tasks in blocks. Documents without a term in common are left out; equal overlaps go by id.
+    """
+    spark = terms.sparkSession
+    schema = "query_id bigint, doc_id bigint, jaccard double"
+    blocks = max(1, -(-asked.count() // block))
+    found = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).select("doc_id", "terms").collect()
+        rows = [r for r in rows if r.terms]
+        if rows:
+            run = _exact_block([r.doc_id for r in rows], [r.terms for r in rows], most)
+            found = found.unionByName(terms.select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).mapInArrow(run, schema))
+    order = Window.partitionBy("query_id").orderBy(F.desc("jaccard"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def common_terms(terms: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
     """(id_a, id_b, terms): the first ``most`` terms of the first document that the second has too."""
     a = terms.select(F.col("doc_id").alias("id_a"), F.col("terms").alias("terms_a"))

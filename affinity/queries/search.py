@@ -113,6 +113,23 @@ def exact_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.exact_jaccard(engine(spark, folder).terms, QUERY)
 
 
+def exact_many(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of greatest true overlap for every hundredth document."""
+    terms = cut(engine(spark, folder).terms)
+    return similarity.exact_to_many(terms, terms.where(F.col("doc_id") % 100 == 0))
+
+
+def legacy_many(spark: SparkSession, folder: str) -> DataFrame:
+    own = legacy_engine(spark, folder)
+    return own.related_to_all(_hundredths(own), 10)
+
+
+def candidates_many(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that share most of the sampled words of every hundredth document."""
+    own = engine(spark, folder)
+    return postings.fast_candidates_of_many(own.words, _hundredths(own))
+
+
 def estimate_error(spark: SparkSession, folder: str) -> DataFrame:
     own = engine(spark, folder)
     both = similarity.scores_to_one(own.filters, QUERY).join(similarity.exact_jaccard(own.terms, QUERY), "doc_id")
@@ -206,7 +223,7 @@ def legacy_stats(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        similar_to_one, similar_compat, scores_to_one, similar_many, all_pairs_topk, legacy_similar, items_overlap, pair_similarity, intersection_count, exact_jaccard,
+        similar_to_one, similar_compat, scores_to_one, similar_many, all_pairs_topk, legacy_similar, items_overlap, pair_similarity, intersection_count, exact_jaccard, exact_many, legacy_many, candidates_many,
         estimate_error, common_terms, bloom_bits, bloom_words, bloom_popcount, bloom_contains, bloom_fpr, optimal_params, word_index,
         word_index_sequential, docs_with_word, docs_with_any_word, most_common_words, indexed_documents, sampled_words, fast_candidates,
         recent_candidates, bitmap_candidates, smart_candidates_word, smart_candidates_bitmap, sampled_documents, related_documents,
@@ -267,6 +284,19 @@ SQL = {
     "pair_similarity": sql(_NEXT),
     "intersection_count": sql(f"SELECT p.doc_id, coalesce(o.c, 0) AS common_bits FROM pops p LEFT JOIN overlap o ON o.doc_id = p.doc_id WHERE p.doc_id <> {QUERY}"),
     "exact_jaccard": sql(_JACCARD),
+    "exact_many": sql("""SELECT query_id, doc_id, jaccard, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, doc_id) AS rank FROM (
+            SELECT query_id, doc_id, round(c / (q.n + d.n - c), 6) AS jaccard
+            FROM (SELECT a.doc_id AS query_id, b.doc_id, count(*) AS c FROM term_rows a JOIN term_rows b ON a.term = b.term AND a.doc_id <> b.doc_id
+                WHERE a.doc_id % 100 = 0 GROUP BY ALL) JOIN held q ON q.id = query_id JOIN held d ON d.id = doc_id
+        )) WHERE rank <= 10""", held="SELECT doc_id AS id, count(*) AS n FROM term_rows GROUP BY doc_id"),
+    "legacy_many": sql(_MANY.format(most=10).replace("FROM bits", "FROM old_bits").replace("JOIN bits", "JOIN old_bits").replace("pops", "old_pops").replace("'m'", "256")
+        .replace(", conf", ", (SELECT 256 AS m)")),
+    "candidates_many": sql("""SELECT query_id, doc_id, matches, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank FROM (
+            SELECT s.query_id, w.doc_id, count(*) AS matches FROM samples s JOIN windex w ON w.word = s.word AND w.doc_id <> s.query_id GROUP BY ALL
+        )) WHERE rank <= 100""",
+        samples=f"SELECT query_id, word FROM (SELECT doc_id AS query_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY {seeded_sql('doc_id', 'word')}, word) AS n FROM windex WHERE doc_id % 100 = 0) WHERE n <= 4"),
     "estimate_error": sql(f"SELECT doc_id, round(abs(similarity - jaccard), 6) AS error FROM scores JOIN ({_JACCARD}) USING (doc_id)"),
     "common_terms": sql("""SELECT id_a, id_b, array_to_string(list_sort_terms[1:10], '|') AS terms FROM (
         SELECT a.doc_id AS id_a, b.doc_id AS id_b, coalesce(list(a.term ORDER BY a.place) FILTER (WHERE t.term IS NOT NULL), []) AS list_sort_terms

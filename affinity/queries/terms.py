@@ -187,7 +187,7 @@ SQL = {
     "bigrams_capped": sql("SELECT doc_id, term FROM term_rows", **COMPAT_PARTS),
     "legacy_terms": sql("SELECT doc_id, term FROM old_rows"),
     "char_ngrams": f"""SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: t[i:i + 2])) AS gram
-        FROM (SELECT item_id, regexp_replace(lower(text), '{_SPACE}+', ' ', 'g') AS t FROM eval_items) WHERE length(t) >= 3""",
+        FROM (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '{_SPACE}+', ' ', 'g') AS t FROM eval_items) WHERE length(t) >= 3""",
     "hash_terms": sql(f"SELECT term, h0, h1, h2, (h0 + 3 * h1) & 4294967295 AS h3 FROM (SELECT term, {_H[0]} AS h0, {_H[1]} AS h1, {_H[2]} AS h2 FROM (SELECT DISTINCT term FROM term_rows))"),
     "term_frequency": sql(f"SELECT word, tf FROM ({_COUNTED})"),
     "doc_frequency": sql(f"SELECT word, df FROM ({_COUNTED})"),
