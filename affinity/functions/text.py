@@ -176,9 +176,14 @@ def word_pairs(words: Column, most: Column | int) -> Column:
     return F.transform(heads, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
 
 
+def composed(text: Column) -> Column:
+    """The text in composed form, for which Spark has no function of its own; not for use inside other functions of arrays."""
+    return _nfc(text)
+
+
 def char_ngrams(text: Column, n: int) -> Column:
-    """The distinct runs of ``n`` characters of the composed lower-case text with single blanks."""
-    plain = F.regexp_replace(F.lower(_nfc(text)), f"{SPACE}+", " ")
+    """The distinct runs of ``n`` characters of the lower-case text, which is ``composed`` already, with single blanks."""
+    plain = F.regexp_replace(F.lower(text), f"{SPACE}+", " ")
     starts = F.when(F.length(plain) >= n, F.sequence(F.lit(1), F.length(plain) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.substr(plain, i, F.lit(n))))
 

@@ -83,7 +83,7 @@ def legacy_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def char_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "eval_items")
+    items = table(spark, folder, "eval_items").select("item_id", fn.composed(F.col("text")).alias("text"))
     return items.select("item_id", F.explode(fn.char_ngrams(F.col("text"), 3)).alias("gram")).distinct()
 
 
