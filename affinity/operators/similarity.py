@@ -14,6 +14,8 @@ from affinity.functions.bloom import DECIMALS, LEAST_BITS, intersection, jaccard
 
 #: Queries whose filters a task holds at once.
 QUERY_BLOCK = 2048
+#: Blocks that one scan of the filters is held against, one after another; at 8192 bits they are 32 MB.
+SCAN_BLOCKS = 16
 
 
 def score(a: str, b: str) -> Column:
@@ -97,13 +99,10 @@ def _bits(words: pa.Array, m: int) -> np.ndarray:
     return np.unpackbits(flat.view(np.uint8).reshape(-1, m // 8), axis=1, bitorder="little")
 
 
-def _block(ids: list[int], words: list[list[int]], m: int, k: int, most: int) -> Callable:
-    queries = np.array(words, np.int64)
+def _scan(ids: np.ndarray, queries: np.ndarray, m: int, k: int, most: int, block: int) -> Callable:
+    """Holds batches of filters against the queries, ``block`` of these at a time, and keeps the best of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.array(ids)
-        left = np.unpackbits(queries.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-        size = left.sum(axis=1, dtype=np.float64)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -112,21 +111,20 @@ def _block(ids: list[int], words: list[list[int]], m: int, k: int, most: int) ->
                     continue
                 docs = np.asarray(batch["doc_id"])
                 bits = _bits(batch["words"], m).astype(np.float32)
-                # 0/1 matrices: the product counts common bits exactly
-                both = (left @ bits.T).astype(np.float64)
-                value = np.round(estimates(size[:, None], bits.sum(axis=1, dtype=np.float64)[None, :], both, m, k), DECIMALS)
-                value[own[:, None] == docs[None, :]] = 0.0
-                out_q, out_d, out_s = [], [], []
+                sizes = bits.sum(axis=1, dtype=np.float64)
                 by_id = np.argsort(docs, kind="stable")
-                for i in range(len(own)):
-                    best = by_id[np.argsort(-value[i, by_id], kind="stable")[:most]]
-                    best = best[value[i, best] > 0]
-                    out_q.append(np.full(len(best), own[i]))
-                    out_d.append(docs[best])
-                    out_s.append(value[i, best])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (out_q, out_d, out_s)], ["query_id", "doc_id", "similarity"]
-                )
+                for first in range(0, len(ids), block):
+                    own = ids[first : first + block]
+                    left = np.unpackbits(queries[first : first + block].view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+                    # 0/1 matrices: the product counts common bits exactly
+                    both = (left @ bits.T).astype(np.float64)
+                    value = np.round(estimates(left.sum(axis=1, dtype=np.float64)[:, None], sizes[None, :], both, m, k), DECIMALS)
+                    value[own[:, None] == docs[None, :]] = 0.0
+                    best = by_id[np.argsort(-value[:, by_id], axis=1, kind="stable")[:, :most]]
+                    score = np.take_along_axis(value, best, axis=1)
+                    kept = score > 0
+                    out = [np.repeat(own, best.shape[1]).reshape(best.shape)[kept], docs[best][kept], score[kept]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "doc_id", "similarity"])
 
     return run
 
@@ -134,20 +132,20 @@ def _block(ids: list[int], words: list[list[int]], m: int, k: int, most: int) ->
 def similar_to_many(filters: DataFrame, asked: DataFrame, most: int = 10, *, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, doc_id, similarity, rank): the best ``most`` of ``filters`` for each of the filters ``asked``.
 
-    The queries go to all tasks in blocks of ``block`` filters. A task keeps the best of each batch, so
-    what is shuffled grows with queries and batches and not with their product with the documents.
+    The queries go to all tasks in blocks of ``block`` filters, ``SCAN_BLOCKS`` of them with one scan. A task keeps
+    the best of each batch, so what is shuffled grows with queries and batches and not with their product with the documents.
     """
     spark = filters.sparkSession
     schema = "query_id bigint, doc_id bigint, similarity double"
     count = asked.count()
-    blocks = max(1, -(-count // block))
+    scans = max(1, -(-count // (block * SCAN_BLOCKS)))
     found = spark.createDataFrame([], schema)
-    for b in range(blocks if count else 0):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b)
+    for b in range(scans if count else 0):
+        part = asked if scans == 1 else asked.where(F.pmod(F.xxhash64("doc_id"), F.lit(scans)) == b)
         rows = part.select("doc_id", "m", "k", "words").collect()
         for m, k in sorted({(r.m, r.k) for r in rows}):
             own = [r for r in rows if (r.m, r.k) == (m, k)]
-            run = _block([r.doc_id for r in own], [r.words for r in own], m, k, most)
+            run = _scan(np.array([r.doc_id for r in own], np.int64), np.array([r.words for r in own], np.int64), m, k, most, block)
             found = found.unionByName(filters.select("doc_id", "m", "words").mapInArrow(run, schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

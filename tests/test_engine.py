@@ -98,6 +98,8 @@ def test_engine(spark):
     assert own.is_indexed(5) and not own.is_indexed(99) and own.related(99).collect() == []
     many = {(r.query_id, r.doc_id): r.similarity for r in own.related_to_all(own.corpus.select("doc_id")).collect()}
     assert {d: s for (q, d), s in many.items() if q == 1} == {r.doc_id: r.similarity for r in own.related(1).collect()}
+    blocks = similarity.similar_to_many(own.filters, own.filters, 5, block=1)
+    assert {(r.query_id, r.doc_id, r.rank) for r in blocks.collect()} == {(r.query_id, r.doc_id, r.rank) for r in own.related_to_all(own.corpus.select("doc_id")).collect()}
     again = RelatedEngine(corpus(spark).repartition(7), PLAIN).filters
     assert sorted(again.collect()) == sorted(own.filters.collect())
     assert own.stats().first().documents == 8
